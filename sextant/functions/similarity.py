@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MATCH_RATIO = 0.75
 
@@ -34,6 +35,6 @@ def alike(a: str, b: str, threshold: float = MATCH_RATIO) -> bool:
     return ratio(a, b) >= threshold
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def label_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")

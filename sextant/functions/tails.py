@@ -10,6 +10,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 # Above this the log-gamma differences lose digits and the limit law is closer.
@@ -93,7 +94,7 @@ def _usable(*values: float) -> bool:
     return all(v is not None and math.isfinite(v) for v in values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic; null when it is undefined."""
     return pd.Series(
@@ -101,7 +102,7 @@ def t_tail(t: pd.Series, dof: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p-value of an F statistic; null when it is undefined."""
     return pd.Series(
