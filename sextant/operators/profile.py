@@ -346,25 +346,58 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 # -- correlation ------------------------------------------------------------
 
 
-def pairwise_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]]:
-    """Aggregates and expressions for Pearson's r of each pair over its complete rows.
+def pairwise_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column], list[Column]]:
+    """Aggregates, Pearson's r and row count of each pair over its complete rows.
 
-    Both sides are masked before aggregating, and a constant side gives null
-    instead of a division error.
+    Columns are centred on means from a first pass, so plain sums are stable.
+    Columns without gaps share their own sums; only a pair with gaps pays for
+    sums over its common rows. A constant side gives null, not a division error.
     """
-    aggs, correlations = [], []
-    for i, (a, b) in enumerate(pairs):
-        x, y = as_double(df, a), as_double(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggs += [
-            F.covar_samp(x, y).alias(f"cov{i}"),
-            F.stddev_samp(x).alias(f"sx{i}"),
-            F.stddev_samp(y).alias(f"sy{i}"),
-            F.count(x).alias(f"n{i}"),
-        ]
-        correlations.append(F.try_divide(F.col(f"cov{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")))
-    return aggs, correlations
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    pre = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        v = as_double(df, c)
+        pre += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), (F.min(v) < F.max(v)).alias(f"varies{i}")]
+    row = df.agg(*pre).first()
+    place = {c: i for i, c in enumerate(columns)}
+    varies = {c: bool(row[f"varies{i}"]) for c, i in place.items()}
+    full = {c: row[f"n{i}"] == row["n"] for c, i in place.items()}
+    centred = {c: as_double(df, c) - F.lit(row[f"m{i}"] or 0.0) for c, i in place.items()}
+
+    aggs: dict[str, Column] = {"_n": F.count("*").alias("_n")}
+
+    def total(name: str, value: Column) -> Column:
+        aggs[name] = F.sum(value).alias(name)
+        return F.col(name)
+
+    correlations, counts = [], []
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        if not (varies[a] and varies[b]):
+            correlations.append(F.lit(None).cast("double"))
+            counts.append(F.lit(min(row[f"n{i}"], row[f"n{j}"])).cast("bigint"))
+            continue
+        x, y = centred[a], centred[b]
+        if full[a] and full[b]:
+            n = F.col("_n")
+            sx, sy = total(f"s{i}", x), total(f"s{j}", y)
+            sxx, syy = total(f"q{i}", x * x), total(f"q{j}", y * y)
+            known = F.lit(True)
+        else:
+            both = x.isNotNull() & y.isNotNull()
+            key = f"{i}_{j}"
+            aggs[f"n{key}"] = F.count_if(both).alias(f"n{key}")
+            n = F.col(f"n{key}")
+            x, y = F.when(both, x), F.when(both, y)
+            sx, sy = total(f"sx{key}", x), total(f"sy{key}", y)
+            sxx, syy = total(f"qx{key}", x * x), total(f"qy{key}", y * y)
+            aggs[f"v{key}"] = ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"v{key}")
+            known = F.col(f"v{key}")
+        sxy = total(f"p{i}_{j}", x * y)
+        spread = F.sqrt(F.greatest((sxx - sx * sx / n) * (syy - sy * sy / n), F.lit(0.0)))
+        correlations.append(F.when(known & (n > 0), F.try_divide(sxy - sx * sy / n, spread)))
+        counts.append(n)
+    return list(aggs.values()), correlations, counts
 
 
 def upper_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -373,7 +406,7 @@ def upper_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> D
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return empty_like(df, "col_a string, col_b string, r double")
-    aggs, correlations = pairwise_moments(df, pairs)
+    aggs, correlations, _ = pairwise_moments(df, pairs)
     return rows_from_wide(
         df.agg(*aggs),
         [
@@ -387,7 +420,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int
     """Full Pearson matrix in long form; r is null where a column is constant."""
     columns = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs, correlations = pairwise_moments(df, pairs)
+    aggs, correlations, _ = pairwise_moments(df, pairs)
     upper = rows_from_wide(
         df.agg(*aggs),
         [

@@ -22,7 +22,7 @@ from sextant.columns import as_double, quoted
 from sextant.operators.ordering import running_count
 
 # Rows the built-in percentile may buffer, and rows one task may sort.
-BUFFER_ROWS = 50_000
+BUFFER_ROWS = 100_000
 ONE_TASK_ROWS = 2_000_000
 SLICES = 4096
 
@@ -112,17 +112,19 @@ def column_quantiles(
 
 def _check_brackets(values: DataFrame, targets: list[_Rank], extent: dict[str, tuple[float, float]]) -> None:
     """Count rows below and inside each bracket; widen a bracket that missed its rank."""
+    brackets = sorted({(t.column, t.low, t.high) for t in targets})
     aggs = []
-    for i, t in enumerate(targets):
-        v = quoted(t.column)
+    for i, (column, low, high) in enumerate(brackets):
+        v = quoted(column)
         aggs += [
-            F.count_if(v < F.lit(t.low)).alias(f"b{i}"),
-            F.count_if((v >= F.lit(t.low)) & (v <= F.lit(t.high))).alias(f"i{i}"),
+            F.count_if(v < F.lit(low)).alias(f"b{i}"),
+            F.count_if((v >= F.lit(low)) & (v <= F.lit(high))).alias(f"i{i}"),
         ]
     row = values.agg(*aggs).first()
+    counted = {bracket: (row[f"b{i}"], row[f"i{i}"]) for i, bracket in enumerate(brackets)}
     missed = []
-    for i, t in enumerate(targets):
-        t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
+    for t in targets:
+        t.below, t.inside = counted[(t.column, t.low, t.high)]
         if not t.below <= t.rank < t.below + t.inside:
             t.low, t.high = extent[t.column]
             missed.append(t)

@@ -65,14 +65,12 @@ def time_series_mean(df: DataFrame, time: str, metric: str, keys: Sequence[str]
 def share_of_total(df: DataFrame, group_cols: Sequence[str], metric: str, digits: int = 2) -> DataFrame:
     """Sum per group and its percentage of the overall sum.
 
-    The total is a scalar subquery, not a window over all groups in one task.
+    The total is a scalar subquery over the group sums, whose exchange both
+    sides share, not a window over all groups in one task.
     """
-    total = df.agg(F.sum(metric)).scalar()
-    return (
-        df.groupBy(*group_cols)
-        .agg(F.sum(metric).alias("total"))
-        .withColumn("pct_of_total", F.round(F.lit(100.0) * F.col("total") / F.nullif(total, F.lit(0.0)), digits))
-    )
+    sums = df.groupBy(*group_cols).agg(F.sum(metric).alias("total"))
+    overall = F.nullif(sums.agg(F.sum("total")).scalar(), F.lit(0.0))
+    return sums.withColumn("pct_of_total", F.round(F.lit(100.0) * F.col("total") / overall, digits))
 
 
 def global_top_n(df: DataFrame, metric: str, n: int, tie_break: Sequence[str]) -> DataFrame:
@@ -185,3 +183,18 @@ def value_intersect(left: DataFrame, left_column: str, right: DataFrame, right_c
     a = left.select(quoted(left_column).cast("string").alias("value")).where("value is not null")
     b = right.select(quoted(right_column).cast("string").alias("value")).where("value is not null")
     return a.intersect(b)
+
+
+def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Rows with the bands ``low <= value < high`` they fall in.
+
+    Both sides are bucketed by ``width``, a typical band width, and joined on
+    the bucket, so the range test only meets neighbours.
+    """
+    def bucket(c: Column) -> Column:
+        return F.floor(c / F.lit(width))
+
+    reach = bands.withColumn("_bucket", F.explode(F.sequence(bucket(quoted(low)), bucket(quoted(high)))))
+    placed = df.withColumn("_bucket", bucket(quoted(value)))
+    inside = (quoted(value) >= quoted(low)) & (quoted(value) < quoted(high))
+    return placed.join(reach, "_bucket").where(inside).drop("_bucket")

@@ -153,12 +153,12 @@ def corr_ranking(
         raise ValueError(f"target {target!r} has no variance; correlation is undefined")
     if not features:
         return empty_like(df, RANKING_SCHEMA)
-    aggs, correlations = pairwise_moments(work, [(c, y) for c in features])
+    aggs, correlations, counts = pairwise_moments(work, [(c, y) for c in features])
     rows = rows_from_wide(
         work.agg(*aggs),
         [
-            [F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), r.alias("r")]
-            for i, (c, r) in enumerate(zip(features, correlations))
+            [F.lit(c).alias("column"), n.alias("n"), r.alias("r")]
+            for c, n, r in zip(features, counts, correlations)
         ],
     ).where("n >= 3 and r is not null")
     size = F.abs("r")
