@@ -346,8 +346,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 # -- correlation ------------------------------------------------------------
 
 
-def pairwise_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column], list[Column]]:
-    """Aggregates, Pearson's r and row count of each pair over its complete rows.
+def pairwise_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, n, r): Pearson's r of each pair over its complete rows, in pair order.
 
     Columns are centred on means from a first pass, so plain sums are stable.
     Columns without gaps share their own sums; only a pair with gaps pays for
@@ -362,42 +362,41 @@ def pairwise_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[l
     place = {c: i for i, c in enumerate(columns)}
     varies = {c: bool(row[f"varies{i}"]) for c, i in place.items()}
     full = {c: row[f"n{i}"] == row["n"] for c, i in place.items()}
-    centred = {c: as_double(df, c) - F.lit(row[f"m{i}"] or 0.0) for c, i in place.items()}
+    centred = df.select(*[(as_double(df, c) - F.lit(row[f"m{i}"] or 0.0)).alias(f"x{i}") for c, i in place.items()])
 
-    aggs: dict[str, Column] = {"_n": F.count("*").alias("_n")}
-
-    def total(name: str, value: Column) -> Column:
-        aggs[name] = F.sum(value).alias(name)
-        return F.col(name)
-
-    correlations, counts = [], []
+    # SQL text instead of column objects: with p columns there are p² / 2 of these.
+    sums: dict[str, str] = {"_n": "count(*)"}
+    records = []
     for a, b in pairs:
         i, j = place[a], place[b]
         if not (varies[a] and varies[b]):
-            correlations.append(F.lit(None).cast("double"))
-            counts.append(F.lit(min(row[f"n{i}"], row[f"n{j}"])).cast("bigint"))
-            continue
-        x, y = centred[a], centred[b]
-        if full[a] and full[b]:
-            n = F.col("_n")
-            sx, sy = total(f"s{i}", x), total(f"s{j}", y)
-            sxx, syy = total(f"q{i}", x * x), total(f"q{j}", y * y)
-            known = F.lit(True)
+            n, vx, vy, cxy = str(min(row[f"n{i}"], row[f"n{j}"])), "null", "null", "null"
+        elif full[a] and full[b]:
+            n, sx, sy, xx, yy, xy = "_n", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{i}_{j}"
+            for k in (i, j):
+                sums[f"s{k}"], sums[f"q{k}"] = f"sum(x{k})", f"sum(x{k} * x{k})"
+            sums[xy] = f"sum(x{i} * x{j})"
+            vx, vy, cxy = f"{xx} - {sx} * {sx} / nullif({n}, 0)", f"{yy} - {sy} * {sy} / nullif({n}, 0)", f"{xy} - {sx} * {sy} / nullif({n}, 0)"
         else:
-            both = x.isNotNull() & y.isNotNull()
-            key = f"{i}_{j}"
-            aggs[f"n{key}"] = F.count_if(both).alias(f"n{key}")
-            n = F.col(f"n{key}")
-            x, y = F.when(both, x), F.when(both, y)
-            sx, sy = total(f"sx{key}", x), total(f"sy{key}", y)
-            sxx, syy = total(f"qx{key}", x * x), total(f"qy{key}", y * y)
-            aggs[f"v{key}"] = ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"v{key}")
-            known = F.col(f"v{key}")
-        sxy = total(f"p{i}_{j}", x * y)
-        spread = F.sqrt(F.greatest((sxx - sx * sx / n) * (syy - sy * sy / n), F.lit(0.0)))
-        correlations.append(F.when(known & (n > 0), F.try_divide(sxy - sx * sy / n, spread)))
-        counts.append(n)
-    return list(aggs.values()), correlations, counts
+            key, both = f"{i}_{j}", f"filter (where x{i} is not null and x{j} is not null)"
+            n = f"n{key}"
+            parts = {"n": "count(*)", "p": f"sum(x{i} * x{j})"}
+            for side, k in (("x", i), ("y", j)):
+                parts |= {
+                    f"s{side}": f"sum(x{k})", f"q{side}": f"sum(x{k} * x{k})", f"lo{side}": f"min(x{k})", f"hi{side}": f"max(x{k})"
+                }
+            sums |= {f"{name}{key}": f"{text} {both}" for name, text in parts.items()}
+            v = {s: f"if(lo{s}{key} < hi{s}{key}, q{s}{key} - s{s}{key} * s{s}{key} / nullif({n}, 0), null)" for s in "xy"}
+            vx, vy, cxy = v["x"], v["y"], f"p{key} - sx{key} * sy{key} / nullif({n}, 0)"
+        a_text, b_text = (c.replace("\\", "\\\\").replace("'", "\\'") for c in (a, b))
+        records.append(
+            f"struct('{a_text}' as col_a, '{b_text}' as col_b, cast({n} as bigint) as n, "
+            f"cast({vx} as double) as vx, cast({vy} as double) as vy, cast({cxy} as double) as cxy)"
+        )
+    wide = centred.agg(*[F.expr(f"{text} as {name}") for name, text in sums.items()])
+    moments = wide.selectExpr(f"inline(array({', '.join(records)}))")
+    spread = F.sqrt(F.greatest(F.col("vx") * F.col("vy"), F.lit(0.0)))
+    return moments.select("col_a", "col_b", "n", F.try_divide("cxy", spread).alias("r"))
 
 
 def upper_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -406,28 +405,14 @@ def upper_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> D
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return empty_like(df, "col_a string, col_b string, r double")
-    aggs, correlations, _ = pairwise_moments(df, pairs)
-    return rows_from_wide(
-        df.agg(*aggs),
-        [
-            [F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")]
-            for (a, b), r in zip(pairs, correlations)
-        ],
-    )
+    return pairwise_correlation(df, pairs).drop("n")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
     """Full Pearson matrix in long form; r is null where a column is constant."""
     columns = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs, correlations, _ = pairwise_moments(df, pairs)
-    upper = rows_from_wide(
-        df.agg(*aggs),
-        [
-            [F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(r, digits).alias("r")]
-            for (a, b), r in zip(pairs, correlations)
-        ],
-    )
+    upper = pairwise_correlation(df, pairs).withColumn("r", F.round("r", digits))
     ways = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b"))).otherwise(
         F.array(F.struct("col_a", "col_b"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b")))
     )

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.columns import as_double, empty_like, is_numeric, numeric_columns, quoted, rows_from_wide
+from sextant.columns import as_double, empty_like, is_numeric, numeric_columns, quoted
 from sextant.functions.tails import f_tail, t_tail
 from sextant.operators.frequencies import cardinalities
-from sextant.operators.profile import pairwise_moments
+from sextant.operators.profile import pairwise_correlation
 from sextant.operators.relational import factorize
 
 ALPHA = 0.05
@@ -153,14 +153,11 @@ def corr_ranking(
         raise ValueError(f"target {target!r} has no variance; correlation is undefined")
     if not features:
         return empty_like(df, RANKING_SCHEMA)
-    aggs, correlations, counts = pairwise_moments(work, [(c, y) for c in features])
-    rows = rows_from_wide(
-        work.agg(*aggs),
-        [
-            [F.lit(c).alias("column"), n.alias("n"), r.alias("r")]
-            for c, n, r in zip(features, counts, correlations)
-        ],
-    ).where("n >= 3 and r is not null")
+    rows = (
+        pairwise_correlation(work, [(c, y) for c in features])
+        .where("n >= 3 and r is not null")
+        .select(F.col("col_a").alias("column"), "n", "r")
+    )
     size = F.abs("r")
     labelled = rows.withColumn(
         "strength", F.when(size >= 0.7, "strong").when(size >= 0.4, "moderate").otherwise("weak")
