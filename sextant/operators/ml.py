@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -18,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.util import inheritable_thread_target
 
 from sextant.columns import (
     as_double,
@@ -191,8 +193,8 @@ def stratified_split(
     by_hash = F.when(F.col("_ticket") < int(train_share * 1_000_000), "train").otherwise("test")
     if label is None:
         return work.withColumn("split", by_hash).drop("_ticket")
-    sizes = df.groupBy(quoted(label).alias("_label")).agg(F.count("*").alias("_size"))
-    sized = work.join(sizes, quoted(label).eqNullSafe(F.col("_label"))).drop("_label")
+    sizes = df.groupBy(quoted(label).alias("_stratum")).agg(F.count("*").alias("_size"))
+    sized = work.join(sizes, quoted(label).eqNullSafe(F.col("_stratum"))).drop("_stratum")
     large = sized.where(F.col("_size") > exact_below).withColumn("split", by_hash)
     order = W.partitionBy(quoted(label)).orderBy("_ticket", *[quoted(c) for c in key])
     n_test = F.ceil((1 - train_share) * F.col("_size") - 1e-9)
@@ -221,36 +223,36 @@ LEADERBOARD_REGRESSION = "rank bigint, model string, rmse double, r2 double"
 IMPORTANCE_SCHEMA = "rank bigint, feature string, importance double"
 
 
-def _grid(task: str, n_train: int, n_classes: int) -> list[tuple[str, object]]:
-    """Candidates: penalised linear models, forests and boosted trees on small grids."""
+def _grid(task: str, n_train: int, n_classes: int) -> list[tuple[str, str, object]]:
+    """(family, name, estimator): penalised linear models, forests and boosted trees on small grids."""
     common = {"featuresCol": "features", "labelCol": "_y"}
-    models: list[tuple[str, object]] = []
+    models: list[tuple[str, str, object]] = []
     trees = [(n, d) for d in (3, 6) for n in (50, 100)]
     boosts = [(n, d) for d in (3, 4) for n in (50, 100)]
     if task == "classification":
         for c in (0.5, 2.0):
             # Penalty per row, as the loss is a mean here.
             models.append(
-                (f"LogisticRegression(C={c})",
+                ("linear", f"LogisticRegression(C={c})",
                  LogisticRegression(maxIter=400, regParam=1.0 / (c * n_train), standardization=False, **common))
             )
         for n, d in trees:
-            models.append((f"RandomForest(n={n}, depth={d})",
+            models.append(("forest", f"RandomForest(n={n}, depth={d})",
                            RandomForestClassifier(numTrees=n, maxDepth=d, seed=SEED, **common)))
         for n, d in boosts:
             boost = GBTClassifier(maxIter=n, maxDepth=d, stepSize=0.1, seed=SEED, **common)
             if n_classes > 2:
                 boost = OneVsRest(classifier=boost, **common)
-            models.append((f"GradientBoosting(n={n}, depth={d})", boost))
+            models.append(("boosting", f"GradientBoosting(n={n}, depth={d})", boost))
         return models
     for alpha in (0.5, 2.0):
-        models.append((f"Ridge(alpha={alpha})",
+        models.append(("linear", f"Ridge(alpha={alpha})",
                        LinearRegression(regParam=alpha / n_train, elasticNetParam=0.0, standardization=False, **common)))
     for n, d in trees:
-        models.append((f"RandomForest(n={n}, depth={d})",
+        models.append(("forest", f"RandomForest(n={n}, depth={d})",
                        RandomForestRegressor(numTrees=n, maxDepth=d, seed=SEED, **common)))
     for n, d in boosts:
-        models.append((f"GradientBoosting(n={n}, depth={d})",
+        models.append(("boosting", f"GradientBoosting(n={n}, depth={d})",
                        GBTRegressor(maxIter=n, maxDepth=d, stepSize=0.1, seed=SEED, **common)))
     return models
 
@@ -280,11 +282,17 @@ def _regression_metrics(predicted: DataFrame) -> dict[str, float]:
     return {"rmse": math.sqrt(row["mse"]), "r2": r2}
 
 
-def train_models(features: Features, task: str, key: Sequence[str]) -> Trained:
+FAMILIES = ("linear", "forest", "boosting")
+
+
+def train_models(
+    features: Features, task: str, key: Sequence[str], families: Sequence[str] = FAMILIES, parallelism: int = 4
+) -> Trained:
     """Fit every candidate on the training rows and rank them on the held-out rows.
 
     The encoder is fitted on training rows only. Encoded rows are cached once
-    for all candidates and may spill to disk.
+    for all candidates and may spill to disk. Candidates are fitted a few at a
+    time, as in Spark's own tuning, so that short stages of one overlap another.
     """
     spark = features.data.sparkSession
     data = pool_rare(features.data, features.categorical).where(quoted(features.target).isNotNull())
@@ -307,12 +315,18 @@ def train_models(features: Features, task: str, key: Sequence[str]) -> Trained:
     ]
     try:
         n_train, n_test = encoded[0].count(), encoded[1].count()
-        results = []
         measure = _classification_metrics if task == "classification" else _regression_metrics
-        for name, estimator in _grid(task, n_train, n_classes):
+
+        def fit(candidate: tuple[str, str, object]) -> tuple[str, object, dict[str, float]]:
+            _, name, estimator = candidate
             model = estimator.fit(encoded[0])
-            results.append((name, model, measure(model.transform(encoded[1]))))
-        names = _feature_names(encoded[0])
+            return name, model, measure(model.transform(encoded[1]))
+
+        grid = [c for c in _grid(task, n_train, n_classes) if c[0] in families]
+        with ThreadPoolExecutor(parallelism) as pool:
+            # The slowest candidates come last in the grid and are started first.
+            results = list(pool.map(inheritable_thread_target(spark)(fit), reversed(grid)))[::-1]
+        names = _feature_names(encoded[0], features.numeric)
     finally:
         for part in encoded:
             part.unpersist()
@@ -336,10 +350,13 @@ def train_models(features: Features, task: str, key: Sequence[str]) -> Trained:
     )
 
 
-def _feature_names(encoded: DataFrame) -> list[str]:
+def _feature_names(encoded: DataFrame, numeric: Sequence[str]) -> list[str]:
+    """Names of the vector's slots: numeric columns by name, categories as column_label."""
     groups = encoded.schema["features"].metadata["ml_attr"]["attrs"].values()
-    attributes = sorted((a for group in groups for a in group), key=lambda a: a["idx"])
-    return [a["name"].removeprefix("_h_") for a in attributes]
+    slots = sorted((a for group in groups for a in group), key=lambda a: a["idx"])
+    return [
+        numeric[slot["idx"]] if slot["idx"] < len(numeric) else slot["name"].removeprefix("_h_") for slot in slots
+    ]
 
 
 def _importances(model: object, size: int) -> list[float]:

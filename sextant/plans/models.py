@@ -37,15 +37,15 @@ def clf_leaderboard(t: Tables) -> DataFrame:
 
 @query("reg_leaderboard")
 def reg_leaderboard(t: Tables) -> DataFrame:
-    return _balance_models(t).leaderboard
+    return _order_value_models(t).leaderboard
 
 
 @query("feature_importance")
 def feature_importance(t: Tables) -> DataFrame:
-    return _balance_models(t).importances.where("rank <= 15")
+    return _order_value_models(t, ("linear", "forest")).importances.where("rank <= 15")
 
 
-def _balance_models(t: Tables) -> ml.Trained:
+def _order_value_models(t: Tables, families=ml.FAMILIES) -> ml.Trained:
     """Predict a customer's mean order value from the customer's own attributes and order habits."""
     habits = t.orders.groupBy("o_custkey").agg(
         F.avg("o_totalprice").alias("mean_price"),
@@ -57,7 +57,7 @@ def _balance_models(t: Tables) -> ml.Trained:
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_orders", "largest", "mean_month", "mean_price"
     )
     prepared = ml.prepare_features(rows, "mean_price", keep=["c_custkey"])
-    return ml.train_models(prepared, "regression", ["c_custkey"])
+    return ml.train_models(prepared, "regression", ["c_custkey"], families)
 
 
 def _line_features(t: Tables) -> ml.Features:
