@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ["", "nan", "none", "nat", "null", "<na>"]
 
 ISO_PREFIX = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-DAY_MONTH_YEAR = r"^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}"
+LONG_SLASHED = r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})(?![0-9])"
+SHORT_SLASHED = r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{2})(?![0-9])"
 DATE_SHAPE = r"[0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}"
 
+# Written forms beyond these two: the shape of a cell, and how to rewrite it year first.
+_REWRITTEN = [
+    (r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
+    (r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})", "$3-$2-$1"),
+]
+_SPELLED = [
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}", "d MMM yyyy"),
+    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}", "MMMM d, yyyy"),
+]
 _CLOCK = "[ H:mm[:ss]]"
-_DAY_FIRST = ("d/M/yyyy", "d/M/yy")
-_MONTH_FIRST = ("M/d/yyyy", "M/d/yy")
-_OTHER = ("yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 
 
 def strip_null_tokens(text: Column) -> Column:
@@ -24,24 +33,33 @@ def strip_null_tokens(text: Column) -> Column:
     return F.when(~F.lower(plain).isin(NULL_TOKENS), plain)
 
 
-def _first_parse(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p + _CLOCK)) for p in patterns])
+def _slashed(cell: Column, shape: str, century: str) -> Column:
+    """Three numbers with slashes or dots: day first, month first only if that is impossible.
+
+    Rewriting to the ISO order and casting avoids a parser exception per failing cell.
+    """
+    ways = [F.regexp_replace(cell, shape, f"{century}$3-{order}").try_cast("timestamp") for order in ("$2-$1", "$1-$2")]
+    return F.coalesce(*ways)
 
 
 def parse_mixed_date(text: Column) -> Column:
     """Timestamp of one text cell; the shape of the cell decides the field order.
 
     ISO-looking cells are read year first. ``d/m/y`` and ``d.m.y`` are read day
-    first, and month first only if that is impossible. Anything else goes
-    through a fixed list of written forms.
+    first, and month first only if that is impossible. Anything else must have
+    one of a fixed list of written forms. A cell is parsed by one rule only.
     """
     cell = strip_null_tokens(text)
-    slashed = F.regexp_replace(cell, "[.]", "/")
-    return (
+    parsed = (
         F.when(cell.rlike(ISO_PREFIX), cell.try_cast("timestamp"))
-        .when(cell.rlike(DAY_MONTH_YEAR), _first_parse(slashed, _DAY_FIRST + _MONTH_FIRST))
-        .when(cell.rlike("[0-9]"), _first_parse(cell, _OTHER))
+        .when(cell.rlike(LONG_SLASHED), _slashed(cell, LONG_SLASHED, ""))
+        .when(cell.rlike(SHORT_SLASHED), _slashed(cell, SHORT_SLASHED, "20"))
     )
+    for shape, order in _REWRITTEN:
+        parsed = parsed.when(cell.rlike(shape), F.regexp_replace(cell, shape, order).try_cast("timestamp"))
+    for shape, pattern in _SPELLED:
+        parsed = parsed.when(cell.rlike(shape), F.try_to_timestamp(cell, F.lit(pattern + _CLOCK)))
+    return parsed
 
 
 def looks_like_date(text: Column) -> Column:

@@ -1,11 +1,13 @@
 """Exact quantiles that never gather a column in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
-it is used only below a checked row count. Beyond it a quantile is found by
-narrowing: a mergeable sketch brackets the order statistic, rows inside the
-bracket are counted in equal-width slices, and the slice holding the rank
-becomes the next bracket until it is small. Each step is a column-pruned scan
-with a tiny shuffle, and repeated values only add to a count.
+it is used only below a checked row count. Beyond it an order statistic is
+narrowed down: a sketch of a sample proposes a bracket, counts over all rows
+prove or reject it, equal-width slices of the bracket are counted until the
+slice holding the rank is small, and its values are ranked. The sample only
+saves work; a bracket it got wrong is replaced by the whole extent of the
+column. Each step is a column-pruned scan with a tiny shuffle, and repeated
+values only add to a count.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,6 +27,7 @@ from sextant.operators.ordering import running_count
 BUFFER_ROWS = 100_000
 ONE_TASK_ROWS = 2_000_000
 SLICES = 4096
+SKETCH_ACCURACY = 10_000
 
 
 @dataclass
@@ -43,145 +46,141 @@ class _Rank:
     rank: int
     low: float
     high: float
-    below: int = 0
-    inside: int = 0
+    below: int
+    inside: int
 
     @property
     def settled(self) -> bool:
         return self.low == self.high
 
 
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
 def column_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     one_task_rows: int = ONE_TASK_ROWS,
     buffer_rows: int = BUFFER_ROWS,
-    sketch_accuracy: int = 10_000,
 ) -> dict[str, ColumnQuantiles]:
     """Linear-interpolated quantiles of whole columns; the result is schema-sized."""
-    columns = list(columns)
+    columns, probs = list(columns), list(probs)
     if not columns:
         return {}
-    probs = list(probs)
     values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    names = values.columns
-    counting = [F.count(v).alias(f"n_{v}") for v in names]
-    if values.count() <= min(buffer_rows, one_task_rows):
-        row = values.agg(*counting, *[F.percentile(v, F.lit(probs)).alias(v) for v in names]).first()
+    total = values.count()
+    if total <= min(buffer_rows, one_task_rows):
+        wanted = f"array({', '.join(_number(p) for p in probs)})"
+        row = values.agg(
+            *[F.expr(f"count({v}) as n_{v}") for v in values.columns],
+            *[F.expr(f"percentile({v}, {wanted}) as {v}") for v in values.columns],
+        ).first()
         return {
             c: ColumnQuantiles(row[f"n_{v}"], list(row[v]) if row[v] is not None else [None] * len(probs))
-            for c, v in zip(columns, names)
+            for c, v in zip(columns, values.columns)
         }
 
-    margin = 2.0 / sketch_accuracy
-    edges = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)} | {0.0, 1.0})
-    sketch = values.agg(
-        *counting, *[F.percentile_approx(v, F.lit(edges), F.lit(sketch_accuracy)).alias(v) for v in names]
-    ).first()
-    counts = {v: sketch[f"n_{v}"] for v in names}
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for v in names:
-        if not counts[v]:
-            continue
-        at = dict(zip(edges, sketch[v]))
-        for p in probs:
-            place = (counts[v] - 1) * p
-            for k in {math.floor(place), math.ceil(place)}:
-                ranks[(v, k)] = _Rank(v, k, at[max(0.0, p - margin)], at[min(1.0, p + margin)])
+    counts, ranks = _ranks(values, probs, _proposed_brackets(values, probs, total))
     targets = list(ranks.values())
-    _check_brackets(values, targets, {v: (sketch[v][0], sketch[v][-1]) for v in names if counts[v]})
-    while any(not t.settled and t.inside > one_task_rows for t in targets):
-        _slice_brackets(values, [t for t in targets if not t.settled and t.inside > one_task_rows])
+    while wide := [t for t in targets if not t.settled and t.inside > one_task_rows]:
+        _slice_brackets(values, wide)
     _settle(values, [t for t in targets if not t.settled])
 
-    result = {}
-    for c, v in zip(columns, names):
-        found: list[float | None] = []
+    def interpolate(v: str, p: float) -> float | None:
+        if not counts[v]:
+            return None
+        place = (counts[v] - 1) * p
+        low, high = ranks[(v, math.floor(place))].low, ranks[(v, math.ceil(place))].low
+        return low + (high - low) * (place - math.floor(place))
+
+    return {
+        c: ColumnQuantiles(counts[v], [interpolate(v, p) for p in probs]) for c, v in zip(columns, values.columns)
+    }
+
+
+def _proposed_brackets(
+    values: DataFrame, probs: Sequence[float], total: int
+) -> dict[tuple[str, float], tuple[float, float] | None]:
+    """Where each quantile should lie, five standard errors wide on either side."""
+    size = max(100_000, total // 1000)
+    margin = 2.5 / math.sqrt(min(size, total)) + 2.0 / SKETCH_ACCURACY
+    edges = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
+    wanted = f"array({', '.join(_number(e) for e in edges)})"
+    sample = values.sample(min(1.0, size / total), seed=17) if size < total else values
+    row = sample.agg(
+        *[F.expr(f"percentile_approx({v}, {wanted}, {SKETCH_ACCURACY}) as {v}") for v in values.columns]
+    ).first()
+    brackets: dict[tuple[str, float], tuple[float, float] | None] = {}
+    for v in values.columns:
+        at = dict(zip(edges, row[v])) if row[v] is not None else None
         for p in probs:
-            if not counts[v]:
-                found.append(None)
-                continue
-            place = (counts[v] - 1) * p
-            low = ranks[(v, math.floor(place))].low
-            high = ranks[(v, math.ceil(place))].low
-            found.append(low + (high - low) * (place - math.floor(place)))
-        result[c] = ColumnQuantiles(counts[v], found)
-    return result
-
-
-def _check_brackets(values: DataFrame, targets: list[_Rank], extent: dict[str, tuple[float, float]]) -> None:
-    """Count rows below and inside each bracket; widen a bracket that missed its rank."""
-    brackets = sorted({(t.column, t.low, t.high) for t in targets})
-    aggs = []
-    for i, (column, low, high) in enumerate(brackets):
-        v = quoted(column)
-        aggs += [
-            F.count_if(v < F.lit(low)).alias(f"b{i}"),
-            F.count_if((v >= F.lit(low)) & (v <= F.lit(high))).alias(f"i{i}"),
-        ]
-    row = values.agg(*aggs).first()
-    counted = {bracket: (row[f"b{i}"], row[f"i{i}"]) for i, bracket in enumerate(brackets)}
-    missed = []
-    for t in targets:
-        t.below, t.inside = counted[(t.column, t.low, t.high)]
-        if not t.below <= t.rank < t.below + t.inside:
-            t.low, t.high = extent[t.column]
-            missed.append(t)
-    if missed:
-        _check_brackets(values, missed, extent)
-
-
-def _cells_in_brackets(values: DataFrame, targets: list[_Rank]) -> DataFrame:
-    """(target, v, n): distinct values inside each bracket with their row counts."""
-    by_column: dict[str, list[_Rank]] = {}
-    for t in targets:
-        by_column.setdefault(t.column, []).append(t)
-    inside: dict[str, Column] = {}
-    for name, group in by_column.items():
-        v = quoted(name)
-        test = F.lit(False)
-        for low, high in {(t.low, t.high) for t in group}:
-            test = test | ((v >= F.lit(low)) & (v <= F.lit(high)))
-        inside[name] = F.coalesce(test, F.lit(False))
-    any_inside = F.lit(False)
-    for test in inside.values():
-        any_inside = any_inside | test
-    cells = F.array(
-        *[F.when(test, F.struct(F.lit(name).alias("c"), quoted(name).alias("v"))) for name, test in inside.items()]
-    )
-    distinct = (
-        values.where(any_inside)
-        .select(F.inline(F.filter(cells, lambda cell: cell.isNotNull())))
-        .groupBy("c", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    brackets = values.sparkSession.createDataFrame(
-        [(t.column, i, t.low, t.high) for i, t in enumerate(targets)], "c string, target int, low double, high double"
+            ends = (min(1.0, max(0.0, p - margin)), min(1.0, max(0.0, p + margin)))
+            brackets[(v, p)] = (at[ends[0]], at[ends[1]]) if at else None
+    return brackets
+
+
+def _ranks(
+    values: DataFrame, probs: Sequence[float], brackets: dict[tuple[str, float], tuple[float, float] | None]
+) -> tuple[dict[str, int], dict[tuple[str, int], _Rank]]:
+    """Count all rows around the brackets; a rank outside its bracket starts from the whole extent."""
+    place = {bracket: i for i, bracket in enumerate(dict.fromkeys((v, *b) for (v, _), b in brackets.items() if b))}
+    aggs = [f"{name}({v}) as {name}_{v}" for v in values.columns for name in ("count", "min", "max")]
+    for (v, low, high), i in place.items():
+        low, high = _number(low), _number(high)
+        aggs += [f"count_if({v} < {low}) as below{i}", f"count_if({v} >= {low} and {v} <= {high}) as inside{i}"]
+    row = values.agg(*[F.expr(a) for a in aggs]).first()
+    counts = {v: row[f"count_{v}"] for v in values.columns}
+    ranks: dict[tuple[str, int], _Rank] = {}
+    for (v, p), bracket in brackets.items():
+        n = counts[v]
+        if not n:
+            continue
+        for k in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
+            if bracket:
+                i = place[(v, *bracket)]
+                below, inside = row[f"below{i}"], row[f"inside{i}"]
+                if below <= k < below + inside:
+                    ranks[(v, k)] = _Rank(v, k, *bracket, below, inside)
+                    continue
+            ranks.setdefault((v, k), _Rank(v, k, row[f"min_{v}"], row[f"max_{v}"], 0, n))
+    return counts, ranks
+
+
+def _rows_in_brackets(values: DataFrame, targets: list[_Rank]) -> DataFrame:
+    """(c, v) of every cell that lies in a bracket of its column."""
+    tests: dict[str, str] = {}
+    for v in dict.fromkeys(t.column for t in targets):
+        spans = {(t.low, t.high) for t in targets if t.column == v}
+        tests[v] = " or ".join(f"({v} >= {_number(low)} and {v} <= {_number(high)})" for low, high in spans)
+    cells = ", ".join(f"if({test}, struct('{v}' as c, {v} as v), null)" for v, test in tests.items())
+    any_inside = " or ".join(f"({test})" for test in tests.values())
+    return values.where(any_inside).selectExpr(f"inline(filter(array({cells}), x -> x is not null))")
+
+
+def _with_targets(cells: DataFrame, targets: list[_Rank]) -> DataFrame:
+    """Cells with the order statistics whose bracket they are in."""
+    rows = [(t.column, i, t.low, t.high, t.rank - t.below) for i, t in enumerate(targets)]
+    brackets = cells.sparkSession.createDataFrame(
+        rows, "c string, target int, low double, high double, offset bigint"
     )
     # One row per order statistic: schema-sized, so the broadcast stays small at any data size.
-    return distinct.join(F.broadcast(brackets), "c").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+    return cells.join(F.broadcast(brackets), "c").where("v >= low and v <= high")
 
 
 def _slice_brackets(values: DataFrame, targets: list[_Rank]) -> None:
     """Replace each bracket by the one of its equal-width slices that holds the rank."""
-    share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    place = f"floor((v / 2 - low / 2) / (high / 2 - low / 2) * {SLICES})"
     sliced = (
-        _cells_in_brackets(values, targets)
-        .withColumn("slice", F.least(F.floor(share * SLICES), F.lit(SLICES - 1)))
-        .groupBy("target", "slice")
-        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
-    ranks = values.sparkSession.createDataFrame(
-        [(i, t.rank - t.below) for i, t in enumerate(targets)], "target int, offset bigint"
+        _with_targets(_rows_in_brackets(values, targets), targets)
+        .withColumn("slice", F.expr(f"least({place}, {SLICES - 1})"))
+        .groupBy("target", "offset", "slice")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
     # At most SLICES rows per target reach this window.
     upto = F.sum("n").over(W.partitionBy("target").orderBy("slice"))
-    holding = (
-        sliced.withColumn("upto", upto)
-        .join(F.broadcast(ranks), "target")
-        .where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
-    )
+    holding = sliced.withColumn("upto", upto).where("offset < upto and offset >= upto - n")
     for row in holding.collect():  # one row per order statistic
         t = targets[row["target"]]
         t.below += row["upto"] - row["n"]
@@ -189,21 +188,13 @@ def _slice_brackets(values: DataFrame, targets: list[_Rank]) -> None:
 
 
 def _settle(values: DataFrame, targets: list[_Rank]) -> None:
-    """Read the order statistics off the small final brackets."""
+    """Rank the distinct values of the small final brackets."""
     if not targets:
         return
-    ranks = values.sparkSession.createDataFrame(
-        [(i, t.rank - t.below) for i, t in enumerate(targets)], "target int, offset bigint"
-    )
+    distinct = _rows_in_brackets(values, targets).groupBy("c", "v").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("target").orderBy("v"))
-    found = (
-        _cells_in_brackets(values, targets)
-        .withColumn("upto", upto)
-        .join(F.broadcast(ranks), "target")
-        .where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
-        .select("target", "v")
-    )
-    for row in found.collect():  # one row per order statistic
+    found = _with_targets(distinct, targets).withColumn("upto", upto).where("offset < upto and offset >= upto - n")
+    for row in found.select("target", "v").collect():  # one row per order statistic
         targets[row["target"]].low = targets[row["target"]].high = row["v"]
 
 
