@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.columns import quoted
 from sextant.operators.profile import apply_types
-from sextant.sources.names import clean_columns
+from sextant.sources.names import clean_columns, unique_names
 
 # Cell texts read as null.
 NULL_CELLS = [
@@ -22,14 +23,17 @@ class EmptySourceError(ValueError):
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """Header CSV with clean unique names; text columns take the type 80 % of their rows have."""
+    reader = spark.read.option("escape", '"')
     try:
-        raw = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
-    except Exception as error:
+        # The first record alone: Spark's own header handling renames repeated names.
+        first = reader.option("header", False).csv(path).first()
+        raw = reader.option("header", True).csv(path)
+    except AnalysisException as error:
         if "UNABLE_TO_INFER_SCHEMA" in str(error):
             raise EmptySourceError(f"{path} is empty") from error
         raise
-    if not raw.columns or raw.isEmpty():
+    if first is None or raw.isEmpty():
         raise EmptySourceError(f"{path} has no rows")
-    named = clean_columns(raw)
+    named = clean_columns(raw.toDF(*unique_names([name or "" for name in first])))
     blanked = named.select(*[F.when(~quoted(c).isin(NULL_CELLS), quoted(c)).alias(c) for c in named.columns])
     return apply_types(blanked) if infer else blanked
