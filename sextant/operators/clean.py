@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sextant.columns import is_numeric, numeric_columns, quoted, without_nan
 from sextant.functions.numbers import to_number
 from sextant.operators.frequencies import cardinalities, value_counts_topk, value_frequencies
+from sextant.operators.joins import small_side
 from sextant.operators.labels import similar_label_groups
 from sextant.operators.profile import duplicate_count, numbers_as_text, percent, quality_facts
 from sextant.operators.quantiles import column_quantiles
@@ -105,15 +106,15 @@ def merge_labels(df: DataFrame, column: str, labels: Sequence[str], primary: str
 def apply_label_map(df: DataFrame, label_map: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Apply many merges in one pass. ``label_map`` holds (column, label, primary).
 
-    A left join per mapped column; Spark broadcasts the map while its measured
-    size allows and falls back to a skew-aware shuffle join beyond that.
+    A left join per mapped column. The stored map is broadcast while its count
+    allows and goes through a skew-aware shuffle join beyond that.
     """
-    unique = label_map.groupBy("column", "label").agg(F.min("primary").alias("primary"))
+    unique = materialize(label_map.groupBy("column", "label").agg(F.min("primary").alias("primary")), "labels")
     result = df
     for c in columns:
         side = unique.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("primary").alias("_to"))
         result = (
-            result.join(side, quoted(c) == F.col("_label"), "left")
+            result.join(small_side(side), quoted(c) == F.col("_label"), "left")
             .withColumn(c, F.coalesce("_to", quoted(c)))
             .drop("_label", "_to")
         )

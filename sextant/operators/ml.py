@@ -32,8 +32,10 @@ from sextant.columns import (
 from sextant.functions.dates import date_parts, parse_mixed_date
 from sextant.operators import roles
 from sextant.operators.frequencies import cardinalities, columns_within, value_counts_topk
+from sextant.operators.joins import small_side
 from sextant.operators.profile import infer_types
 from sextant.operators.quantiles import column_quantiles
+from sextant.scratch import materialize
 
 HIGH_CARDINALITY = 40
 MAX_CATEGORIES = 20
@@ -193,8 +195,8 @@ def stratified_split(
     by_hash = F.when(F.col("_ticket") < int(train_share * 1_000_000), "train").otherwise("test")
     if label is None:
         return work.withColumn("split", by_hash).drop("_ticket")
-    sizes = df.groupBy(quoted(label).alias("_stratum")).agg(F.count("*").alias("_size"))
-    sized = work.join(sizes, quoted(label).eqNullSafe(F.col("_stratum"))).drop("_stratum")
+    sizes = materialize(df.groupBy(quoted(label).alias("_stratum")).agg(F.count("*").alias("_size")), "classes")
+    sized = work.join(small_side(sizes), quoted(label).eqNullSafe(F.col("_stratum"))).drop("_stratum")
     large = sized.where(F.col("_size") > exact_below).withColumn("split", by_hash)
     order = W.partitionBy(quoted(label)).orderBy("_ticket", *[quoted(c) for c in key])
     n_test = F.ceil((1 - train_share) * F.col("_size") - 1e-9)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sextant.columns import as_double, quoted
+from sextant.operators.joins import small_side
 from sextant.operators.ordering import running_count
 
 # Rows the built-in percentile may buffer, and rows one task may sort.
@@ -219,7 +220,7 @@ def grouped_medians(
         return freq.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias(name))
     totals = freq.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     upto = running_count(freq, keys, [value], "_n", "_upto")
-    joined = upto.join(totals, keys) if keys else upto.crossJoin(totals)
+    joined = upto.join(small_side(totals), keys)
     first, second = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     holds = lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_n"))
     return joined.groupBy(*keys).agg(

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sextant.columns import as_double, is_numeric, quoted
+from sextant.columns import as_double, is_numeric, quoted, rows_from_wide
 from sextant.functions.dates import elapsed_days
+from sextant.operators.joins import small_side
 from sextant.operators.ordering import ONE_TASK_ROWS, number_rows, with_previous
+from sextant.scratch import materialize
 
 RANKINGS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 
@@ -98,7 +100,7 @@ def event_index(
     numbered = number_rows(known, [time, *order_by], keys, "event_no", one_task_rows)
     if keys:
         first = known.groupBy(*keys).agg(F.min(time).alias("_first"))
-        numbered = numbered.join(first, list(keys))
+        numbered = numbered.join(small_side(first), list(keys))
         return numbered.withColumn("elapsed_days", elapsed_days(quoted(time), F.col("_first"))).drop("_first")
     first_time = known.agg(F.min(time)).scalar()
     return numbered.withColumn("elapsed_days", elapsed_days(quoted(time), first_time))
@@ -112,37 +114,46 @@ def _filter_test(df: DataFrame, column: str, value) -> tuple[Column, Column | No
     return cell == F.lit(wanted), F.contains(cell, F.lit(wanted))
 
 
-def equal_or_contains(df: DataFrame, filters: Sequence[tuple[str, object]]) -> DataFrame:
-    """Keep rows equal to each value in turn; text falls back to "contains" if no row is equal.
+def filter_predicates(df: DataFrame, filters: Sequence[tuple[str, object]]) -> list[Column]:
+    """One predicate per filter, each settled on the rows its predecessors leave.
 
-    The choice is a scalar subquery, so the whole filter stays one lazy plan.
+    Whether any row is equal is one early-stopping look per text filter. The
+    result is plain predicates that reach the scan.
     """
+    settled: list[Column] = []
     work = df
     for column, value in filters:
         exact, loose = _filter_test(df, column, value)
-        if loose is None:
-            work = work.where(exact)
-        else:
-            any_exact = work.agg(F.coalesce(F.bool_or(exact), F.lit(False))).scalar()
-            work = work.where(F.when(any_exact, exact).otherwise(loose))
+        chosen = exact if loose is None or not work.where(exact).isEmpty() else loose
+        settled.append(chosen)
+        work = work.where(chosen)
+    return settled
+
+
+def equal_or_contains(df: DataFrame, filters: Sequence[tuple[str, object]]) -> DataFrame:
+    """Keep rows equal to each value in turn; text falls back to "contains" if no row is equal."""
+    work = df
+    for predicate in filter_predicates(df, filters):
+        work = work.where(predicate)
     return work
 
 
 def filter_notes(df: DataFrame, filters: Sequence[tuple[str, object]]) -> DataFrame:
-    """(step, column, value, rows_before, rows_after) of :func:`equal_or_contains`."""
-    notes = None
-    for step, (column, value) in enumerate(filters, start=1):
-        after = equal_or_contains(df, filters[:step]).agg(F.count("*").alias("rows_after"))
-        before = equal_or_contains(df, filters[: step - 1]).agg(F.count("*")).scalar()
-        note = after.select(
-            F.lit(step).cast("bigint").alias("step"),
-            F.lit(column).alias("column"),
-            F.lit(str(value)).alias("value"),
-            before.alias("rows_before"),
-            "rows_after",
+    """(step, column, value, rows_before, rows_after) of :func:`equal_or_contains`, counted in one pass."""
+    passed, aggs, records = F.lit(True), [F.count("*").alias("n0")], []
+    for step, ((column, value), predicate) in enumerate(zip(filters, filter_predicates(df, filters)), start=1):
+        passed = passed & F.coalesce(predicate, F.lit(False))
+        aggs.append(F.count_if(passed).alias(f"n{step}"))
+        records.append(
+            [
+                F.lit(step).cast("bigint").alias("step"),
+                F.lit(column).alias("column"),
+                F.lit(str(value)).alias("value"),
+                F.col(f"n{step - 1}").alias("rows_before"),
+                F.col(f"n{step}").alias("rows_after"),
+            ]
         )
-        notes = note if notes is None else notes.unionByName(note)
-    return notes
+    return rows_from_wide(df.agg(*aggs), records)
 
 
 def factorize(
@@ -160,8 +171,9 @@ def factorize(
     flat = first_seen.select("_value", *[F.col("_first")[c].alias(f"_o{i}") for i, c in enumerate(order_by)])
     order = [f"_o{i}" for i in range(len(order_by))]
     codes = number_rows(flat, [*order, "_value"], (), "_code", one_task_rows).select("_value", "_code")
+    codes = materialize(codes, "codes")
     return (
-        df.join(codes, quoted(column) == F.col("_value"), "left")
+        df.join(small_side(codes), quoted(column) == F.col("_value"), "left")
         .withColumn(name, F.coalesce(F.col("_code") - 1, F.lit(-1)))
         .drop("_value", "_code")
     )
@@ -189,7 +201,8 @@ def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str,
     """Rows with the bands ``low <= value < high`` they fall in.
 
     Both sides are bucketed by ``width``, a typical band width, and joined on
-    the bucket, so the range test only meets neighbours.
+    the bucket, so the range test only meets neighbours. Few bands are
+    broadcast, so that a hot bucket moves no rows.
     """
     def bucket(c: Column) -> Column:
         return F.floor(c / F.lit(width))
@@ -197,4 +210,4 @@ def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str,
     reach = bands.withColumn("_bucket", F.explode(F.sequence(bucket(quoted(low)), bucket(quoted(high)))))
     placed = df.withColumn("_bucket", bucket(quoted(value)))
     inside = (quoted(value) >= quoted(low)) & (quoted(value) < quoted(high))
-    return placed.join(reach, "_bucket").where(inside).drop("_bucket")
+    return placed.join(small_side(reach), "_bucket").where(inside).drop("_bucket")

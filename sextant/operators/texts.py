@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 
 from sextant.columns import quoted
 from sextant.functions.chunking import overlapping_chunks
+from sextant.operators.joins import small_side
+from sextant.scratch import materialize
 
 # -- chunks -----------------------------------------------------------------
 
@@ -166,5 +168,6 @@ def nearest(
 def citations(hits: DataFrame, texts: DataFrame, length: int = 200) -> DataFrame:
     """Rank, source and excerpt per hit, from hits and (vec_id, source_type, text)."""
     text = F.col("text")
+    found = small_side(materialize(hits, "hits"))  # k rows per query
     excerpt = F.concat(F.substring(text, 1, length), F.when(F.length(text) > length, "...").otherwise(""))
-    return hits.join(texts, "vec_id").select("query_id", "rank", "source_type", excerpt.alias("excerpt"))
+    return texts.join(found, "vec_id").select("query_id", "rank", "source_type", excerpt.alias("excerpt"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.columns import as_double, quoted, rows_from_wide, time_columns
 from sextant.functions.dates import add_days, elapsed_days, parse_mixed_date, strip_null_tokens
+from sextant.operators.joins import small_side
 from sextant.operators.ordering import ONE_TASK_ROWS, number_rows, with_previous
 from sextant.operators.quantiles import grouped_medians
 from sextant.operators.relational import time_series_mean
@@ -77,7 +78,7 @@ class Series:
         means = materialize(time_series_mean(rows, "ts", "y", keys).drop("n_rows"), "series")
         chained = with_previous(means, ["ts"], "ts", "_previous", keys, one_task_rows)
         first = means.groupBy(*keys).agg(F.min("ts").alias("_first"))
-        points = chained.join(first, keys).select(
+        points = chained.join(small_side(first), keys).select(
             *keys,
             "ts",
             "y",
@@ -168,7 +169,7 @@ def trend_fit(series: Series) -> DataFrame:
     between = (F.col("y") > F.col("_miny")) & (F.col("y") < F.col("_maxy"))
     residual = F.col("y") - F.col("intercept") - F.col("slope") * F.col("t")
     squares = (
-        series.points.join(fit.select(*keys, "slope", "intercept", "_my", "_miny", "_maxy"), keys)
+        series.points.join(small_side(fit.select(*keys, "slope", "intercept", "_my", "_miny", "_maxy")), keys)
         .groupBy(*keys)
         .agg(
             F.sum(residual * residual).alias("_sse"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import relational as R
+from sextant.operators.joins import small_side
 from sextant.operators.joinkeys import discover_join_keys
 from sextant.plans.catalog import Tables, query, rounded, sql_rounded
 from sextant.plans.inputs import MESSY_SQL
@@ -209,7 +210,9 @@ def theta_band_join(t: Tables) -> DataFrame:
     """,
 )
 def pct_of_total(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_totalprice")
+    """Orders are summed per customer first, so that no customer is a hot join key."""
+    per_customer = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("o_totalprice"))
+    rows = per_customer.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_totalprice")
     return R.share_of_total(rows, ["c_mktsegment"], "o_totalprice").withColumn("total", F.round("total", 2))
 
 
@@ -221,7 +224,8 @@ def pct_of_total(t: Tables) -> DataFrame:
     """,
 )
 def group_agg_topn(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_extendedprice")
+    brands = t.part.select("p_partkey", "p_brand")
+    rows = t.lineitem.join(small_side(brands), F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_extendedprice")
     return R.group_aggregate(rows, "p_brand", "l_extendedprice").withColumn("value", F.round("value", 4))
 
 
