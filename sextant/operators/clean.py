@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sextant.columns import is_numeric, numeric_columns, quoted, without_nan
 from sextant.functions.numbers import to_number
-from sextant.operators.frequencies import cardinalities, value_counts_topk, value_frequencies
+from sextant.operators.frequencies import distinct_reaches, value_counts_topk, value_frequencies
 from sextant.operators.joins import small_side
 from sextant.operators.labels import similar_label_groups
 from sextant.operators.profile import duplicate_count, numbers_as_text, percent, quality_facts
@@ -136,12 +136,8 @@ def id_like_columns(df: DataFrame) -> DataFrame:
     n = df.count()
     need = max(20, int(0.9 * n))
     by_name = [c for c in df.columns if has_id_name(c)]
-    distinct = cardinalities(df, numbers)
-    rows = [
-        (c, c in by_name, c in numbers and distinct[c] >= need)
-        for c in df.columns
-        if c in by_name or (c in numbers and distinct[c] >= need)
-    ]
+    unique = distinct_reaches(df, {c: need for c in numbers})
+    rows = [(c, c in by_name, unique.get(c, False)) for c in df.columns if c in by_name or unique.get(c)]
     return df.sparkSession.createDataFrame(rows, "column string, by_name boolean, by_uniqueness boolean")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from sextant.columns import categorical_columns, numeric_columns, text_columns
 from sextant.operators import profile, relational, roles
-from sextant.operators.frequencies import cardinalities, value_counts_topk
+from sextant.operators.frequencies import cardinalities, columns_within, value_counts_topk
 
 # Name parts of preferred metrics and of outcome columns.
 METRIC_NAME_PARTS = ["goal", "price", "revenue", "charge", "amount", "sales", "churn"]
@@ -39,10 +39,10 @@ def insights(df: DataFrame, limit: int = 5) -> DataFrame:
             )
         )
     if categories and numbers:
-        distinct = cardinalities(df, categories)
-        category = min(categories, key=lambda c: distinct[c] if distinct[c] >= 2 else 999)
+        distinct = cardinalities(df, columns_within(df, categories, 20))
+        category = min(categories, key=lambda c: distinct[c] if distinct.get(c, 0) >= 2 else 999)
         metric = next((n for p in METRIC_NAME_PARTS for n in numbers if p in n.lower()), numbers[0])
-        if 2 <= distinct[category] <= 20:
+        if 2 <= distinct.get(category, 0) <= 20:
             parts.append(fixed(2, "comparison", category, metric))
     outcome = next((c for c in df.columns if any(p in c.lower() for p in OUTCOME_NAME_PARTS)), None)
     if outcome:

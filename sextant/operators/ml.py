@@ -31,7 +31,7 @@ from sextant.columns import (
 )
 from sextant.functions.dates import date_parts, parse_mixed_date
 from sextant.operators import roles
-from sextant.operators.frequencies import cardinalities, columns_within, value_counts_topk
+from sextant.operators.frequencies import cardinalities, columns_within, distinct_reaches, value_counts_topk
 from sextant.operators.joins import small_side
 from sextant.operators.profile import infer_types
 from sextant.operators.quantiles import column_quantiles
@@ -80,13 +80,11 @@ def prepare_features(
     """
     candidates = [c for c in df.columns if c not in (target, *keep)]
     named = [c for c in candidates if c.lower().endswith("_id")]
-    unique: dict[str, int] = {}
-    if named:
-        unique = cardinalities(df, named)
     limit = max(20, df.count() // 2) if named else 0
+    unique = distinct_reaches(df, {c: limit + 1 for c in named})
     dropped = [
         c for c in candidates
-        if c in exclude or c.lower() in ("id", "index") or (c in named and unique[c] > limit)
+        if c in exclude or c.lower() in ("id", "index") or unique.get(c, False)
     ]
     work = df.drop(*dropped)
     others = [quoted(c) for c in (target, *keep) if c]

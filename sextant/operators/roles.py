@@ -19,7 +19,7 @@ from sextant.columns import (
     time_columns,
 )
 from sextant.functions.dates import looks_like_date, parse_mixed_date, strip_null_tokens
-from sextant.operators.frequencies import cardinalities
+from sextant.operators.frequencies import cardinalities, columns_within
 from sextant.operators.profile import variance_rank
 
 # Name parts that hint at a column's role.
@@ -126,8 +126,9 @@ def default_target(df: DataFrame, distinct: dict[str, int] | None = None) -> str
     categories = categorical_columns(df)
     if len(categories) == 1:
         return categories[0]
-    distinct = distinct or cardinalities(df, numeric_columns(df))
-    few = [c for c in numeric_columns(df) if 2 <= distinct[c] <= 10]
+    numbers = numeric_columns(df)
+    distinct = distinct or cardinalities(df, columns_within(df, numbers, 10))
+    few = [c for c in numbers if 2 <= distinct.get(c, 0) <= 10]
     return few[0] if len(few) == 1 else None
 
 
@@ -135,8 +136,9 @@ def task_type(df: DataFrame, target: str | None, distinct: dict[str, int] | None
     if target is None:
         return "clustering"
     if is_numeric(df, target):
-        levels = (distinct or cardinalities(df, [target]))[target]
-        if levels > 10:
+        distinct = distinct or cardinalities(df, columns_within(df, [target], 10))
+        # A column left out of the exact count has many values.
+        if distinct.get(target, 11) > 10:
             return "regression"
     return "classification"
 
@@ -162,8 +164,10 @@ def column_roles(df: DataFrame) -> DataFrame:
 def suggested_groupings(df: DataFrame, limit: int = 3, max_levels: int = 30) -> DataFrame:
     """Up to three (category, metric) pairs: fewest levels first, KPI-named metrics first."""
     numbers, categories = numeric_columns(df), categorical_columns(df)
-    distinct = cardinalities(df, numbers + categories)
+    few = columns_within(df, categories, max_levels)
+    distinct = cardinalities(df, numbers + few) if few else {}
     place = {c: i for i, c in enumerate(df.columns)}
+    categories, numbers = few, numbers if few else []
     metrics = sorted(numbers, key=lambda c: (not _mentions(c, KPI_NAME_PARTS), -distinct[c], place[c]))
     usable = [c for c in categories if 2 <= distinct[c] <= max_levels]
     usable.sort(key=lambda c: (distinct[c], place[c]))
