@@ -29,6 +29,7 @@ BUFFER_ROWS = 100_000
 ONE_TASK_ROWS = 2_000_000
 SLICES = 4096
 SKETCH_ACCURACY = 10_000
+_LARGEST = "double('1.7976931348623157E308')"
 
 
 @dataclass
@@ -49,6 +50,7 @@ class _Rank:
     high: float
     below: int
     inside: int
+    narrows: bool = True
 
     @property
     def settled(self) -> bool:
@@ -85,7 +87,7 @@ def column_quantiles(
 
     counts, ranks = _ranks(values, probs, _proposed_brackets(values, probs, total))
     targets = list(ranks.values())
-    while wide := [t for t in targets if not t.settled and t.inside > one_task_rows]:
+    while wide := [t for t in targets if t.narrows and not t.settled and t.inside > one_task_rows]:
         _slice_brackets(values, wide)
     _settle(values, [t for t in targets if not t.settled])
 
@@ -94,7 +96,7 @@ def column_quantiles(
             return None
         place = (counts[v] - 1) * p
         low, high = ranks[(v, math.floor(place))].low, ranks[(v, math.ceil(place))].low
-        return low + (high - low) * (place - math.floor(place))
+        return low if low == high else low + (high - low) * (place - math.floor(place))
 
     return {
         c: ColumnQuantiles(counts[v], [interpolate(v, p) for p in probs]) for c, v in zip(columns, values.columns)
@@ -172,7 +174,9 @@ def _with_targets(cells: DataFrame, targets: list[_Rank]) -> DataFrame:
 
 def _slice_brackets(values: DataFrame, targets: list[_Rank]) -> None:
     """Replace each bracket by the one of its equal-width slices that holds the rank."""
-    place = f"floor((v / 2 - low / 2) / (high / 2 - low / 2) * {SLICES})"
+    # Infinite ends are read as the largest finite values, and a width too small to divide by as one slice.
+    v, low, high = (f"greatest(least({x}, {_LARGEST}), -{_LARGEST}) / 2" for x in ("v", "low", "high"))
+    place = f"floor(coalesce(try_divide({v} - {low}, {high} - {low}), 0) * {SLICES})"
     sliced = (
         _with_targets(_rows_in_brackets(values, targets), targets)
         .withColumn("slice", F.expr(f"least({place}, {SLICES - 1})"))
@@ -184,6 +188,7 @@ def _slice_brackets(values: DataFrame, targets: list[_Rank]) -> None:
     holding = sliced.withColumn("upto", upto).where("offset < upto and offset >= upto - n")
     for row in holding.collect():  # one row per order statistic
         t = targets[row["target"]]
+        t.narrows = (t.inside, t.low, t.high) != (row["n"], row["low"], row["high"])
         t.below += row["upto"] - row["n"]
         t.inside, t.low, t.high = row["n"], row["low"], row["high"]
 

@@ -439,7 +439,29 @@ def join_keys_similar(t: Tables) -> DataFrame:
     return discover_join_keys(t.spark, tables, None).where("not same_name").drop("same_name", "id_like")
 
 
-@query("catalog_overview")
+_KEY_COLUMNS = {
+    "lineitem": ["orderkey bigint", "partkey bigint", "suppkey double", "quantity double"],
+    "orders": ["orderkey bigint", "custkey bigint"],
+    "customer": ["custkey bigint", "nationkey int"],
+    "part": ["partkey bigint", "quantity double"],
+    "supplier": ["suppkey bigint", "nationkey int"],
+}
+
+
+@query(
+    "catalog_overview",
+    " union all ".join(
+        [f"select 'rows' as kind, '{n}' as \"table\", 'n_rows' as item, cast(count(*) as varchar) as detail from {n}" for n in _KEY_COLUMNS]
+        + [f"select 'column', '{n}', '{c.split()[0]}', '{c.split()[1]}'" for n, columns in _KEY_COLUMNS.items() for c in columns]
+    )
+    + " union all select 'join', left_table, name, right_table || '.' || name from (select * from ("
+    + " union all ".join(
+        f"select {place} as place, '{lt}' as left_table, '{rt}' as right_table, '{name}' as name, "
+        f"{_overlap_sql(lt, le, rt, re)} as overlap from (select 1)"
+        for place, (lt, le, rt, re, name) in enumerate(_PAIRS)
+    )
+    + ") where overlap >= 0.1 or contains(name, 'key') order by place limit 5)",
+)
 def overview(t: Tables) -> DataFrame:
     return catalog_overview(t.spark, _key_tables(t))
 

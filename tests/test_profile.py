@@ -185,6 +185,16 @@ def test_quantiles_match_numpy_on_skewed_values(spark, limit):
     assert found["hollow"].values == [None] * len(probs)
 
 
+def test_quantiles_with_infinite_and_tiny_values(spark):
+    tiny = 5e-324
+    values = [float("-inf")] * 20 + [float("inf")] * 20 + [0.0] * 15 + [tiny] * 15 + [float(i) for i in range(1, 30)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    ordered = sorted(values)
+    for k in (0, 19, 25, 40, 45, 60, len(values) - 1):
+        p = k / (len(values) - 1)
+        assert column_quantiles(df, ["x"], (p,), 4, 3)["x"].values[0] == pytest.approx(ordered[k], abs=1e-9)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e9, 1e9, allow_nan=False), min_size=1, max_size=60))
 def test_quantiles_match_numpy_on_any_values(spark, values):
