@@ -8,6 +8,7 @@ each slice is numbered on its own with an offset from the slices before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,11 @@ def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    laid = df.repartitionByRange(*[quoted(c) for c in [*keys, *order_by]])
+def _sliced(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], one_task_rows: int) -> DataFrame:
+    """Range-partitioned rows with their slice number; enough slices for one task each."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(usual, math.ceil(df.count() / one_task_rows))
+    laid = df.repartitionByRange(slices, *[quoted(c) for c in [*keys, *order_by]])
     return materialize(laid.withColumn(_SLICE, F.spark_partition_id()), "ordered")
 
 
@@ -48,10 +52,11 @@ def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def running_count(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], weight: str, name: str
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], weight: str, name: str,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Running sum of ``weight`` in order within each group, spread over many tasks."""
-    rows = _sliced(df, keys, order_by)
+    rows = _sliced(df, keys, order_by, one_task_rows)
     summary = rows.groupBy(*keys, _SLICE).agg(F.sum(weight).alias("_sum"))
     summary = summary.withColumn("_carry", F.coalesce(F.sum("_sum").over(_before(keys)), F.lit(0)))
     inside = W.partitionBy(*keys, _SLICE).orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
@@ -72,7 +77,7 @@ def number_rows(
         window = W.partitionBy(*keys).orderBy(*order_by)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_count(one, keys, order_by, "_one", name).drop("_one")
+    return running_count(one, keys, order_by, "_one", name, one_task_rows).drop("_one")
 
 
 def with_previous(
@@ -87,7 +92,7 @@ def with_previous(
     keys, order_by = list(keys), list(order_by)
     if _largest_group(df, keys) <= one_task_rows:
         return df.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(*order_by)))
-    rows = _sliced(df, keys, order_by)
+    rows = _sliced(df, keys, order_by, one_task_rows)
     order_key: Column = F.struct(*[quoted(c) for c in order_by])
     summary = rows.groupBy(*keys, _SLICE).agg(F.max_by(quoted(value), order_key).alias("_last"))
     summary = summary.withColumn("_carry", F.last("_last").over(_before(keys)))
