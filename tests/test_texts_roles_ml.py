@@ -279,3 +279,16 @@ def test_risk_flags():
 def test_zscore(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, flat double")
     assert [tuple(r) for r in ml.zscore(df, ["x", "flat"]).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_encoding_and_principal_coordinates(spark):
+    df = spark.createDataFrame([(i, float(i), float(2 * i), "ab"[i % 2]) for i in range(10)], "k int, x double, y double, c string")
+    f = ml.prepare_features(df, keep=["k"])
+    encoded = {r["k"]: r["features"] for r in ml.encoded_features(f).collect()}
+    matrix = np.array([encoded[i] for i in range(10)])
+    assert matrix[:, :2].mean(axis=0) == pytest.approx([0, 0], abs=1e-12)
+    assert matrix[:, :2].std(axis=0, ddof=1) == pytest.approx([1, 1])
+    assert [list(v[2:4]) for v in matrix[:2]] == [[1.0, 0.0], [0.0, 1.0]]
+    places = np.array([[r["pc1"], r["pc2"]] for r in ml.pca_2d(f).orderBy("k").collect()])
+    assert places[:, 0].var() > places[:, 1].var()
+    assert abs(np.corrcoef(places[:, 0], np.arange(10))[0, 1]) > 0.9
