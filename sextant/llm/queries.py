@@ -27,3 +27,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import quality_rules
 
     return quality_rules.scores(_table(spark, folder, "documents"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import secret_scan
+
+    return secret_scan.scan(_table(spark, folder, "documents"))
