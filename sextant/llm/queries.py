@@ -22,6 +22,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_quality_rules")
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import quality_rules
@@ -34,3 +40,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import secret_scan
 
     return secret_scan.scan(_table(spark, folder, "documents"))
+
+
+@query("op2_bpe_codec")
+def op2_bpe_codec(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    from sextant.llm import bpe
+
+    return bpe.token_digests(_table(spark, folder, "documents"), vocabulary or _vocabulary("word_bpe_49k.json"))
