@@ -47,3 +47,15 @@ def op2_bpe_codec(spark: SparkSession, folder: str, vocabulary: str | None = Non
     from sextant.llm import bpe
 
     return bpe.token_digests(_table(spark, folder, "documents"), vocabulary or _vocabulary("word_bpe_49k.json"))
+
+
+@query("op9_minhash_near_dup")
+def op9_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sextant.llm import near_dup
+
+    found = near_dup.classes(_table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept")
+    )
