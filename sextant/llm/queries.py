@@ -59,3 +59,10 @@ def op9_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept")
     )
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import decontaminate
+
+    return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
