@@ -66,3 +66,43 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import decontaminate
 
     return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@query("op3_hilbert_shards")
+def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import hilbert
+
+    return hilbert.assign(_table(spark, folder, "documents"))
+
+
+#: Fixed values of the task.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(
+    "op6_url_rules",
+    r"""
+    with rest as (
+      select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+    parsed as (
+      select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path, row_number() over () as k from rest),
+    rules(rh, rp, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+      ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    fit as (
+      select k, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v
+      from parsed join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by k)
+    select page_id, host, path, rule, coalesce(v, 'allow') as verdict from parsed left join fit using (k)
+    """,
+)
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import url_rules
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(_table(spark, folder, "pages"), rules)
