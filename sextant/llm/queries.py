@@ -106,3 +106,10 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judged(_table(spark, folder, "pages"), rules)
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    from sextant.llm import token_files
+
+    return token_files.round_trip(_table(spark, folder, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"))
