@@ -13,12 +13,12 @@ coordinates.  With 48 bands of 7 a pair at exactly 0.8 shares no band once in
 80,000 times, at 0.85 less than once in 10 million.
 
 *Links.*  Equal texts fold into one member first.  In each band bucket members
-are compared with one leader, not with each other; exact likeness of the two
-shingle multisets decides.  Buckets that still hold members of several classes
-get another leader, and what is left then is compared pair by pair across
-classes, leaving out pairs that the triangle inequality of the distance to a
-common leader rules out.  So no link between colliding members is lost to the
-leaders, and no group is expanded into all its pairs.
+are compared with the bucket's least member, not with each other; exact
+likeness of the two shingle multisets decides.  Buckets whose members are of
+several classes after that are compared in blocks of at most about BLOCK by
+BLOCK members, only across classes and each pair only in the first band it
+shares; a block gives no pairs, just the links that join classes.  So no link
+between colliding members is lost to the leaders, and no group is expanded.
 
 Only fingerprints and ids are shuffled; texts move once per document in a
 candidate pair and side.  Classes come from repeated contraction of the links
@@ -46,6 +46,8 @@ from sextant.scratch import materialize
 
 LIKE = 0.8
 BANDS, ROWS = 48, 7
+#: Members of a block of a mixed bucket, about; a block pair is one unit of work.
+BLOCK = 500
 #: Bound of the rounds in which classes are contracted; chains halve in each.
 CONTRACTIONS = 60
 
@@ -254,69 +256,93 @@ def contracted(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _with_root(rows: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
-    own = roots.select(F.col("id").alias(column), F.col("root").alias(name))
-    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``id`` (the key), ``class_id`` (least key of its class), ``n_links``.
-
-    ``n_links`` counts the verified links that the search kept for the row's text.
-    """
+    """One row per input row: ``id`` (the key) and ``class_id`` (least key of its class)."""
     signed = _signed(docs, key, text)
     # Equal word sequences are one member, known by its least key; rows without words take no part.
     least = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("member"), F.first("bands").alias("bands"))
     members = materialize(least, "members")
-    rows = members.select("member", F.posexplode("bands").alias("band", "bucket")).select("bucket", "member")
+    rows = members.select("member", F.posexplode("bands").alias("band", "bucket")).where("member is not null")
     # The band is part of the bucket's fingerprint.  Only buckets of two or more members matter.
     shared = rows.groupBy("bucket").agg(F.min("member").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = materialize(rows.join(materialize(shared.select("bucket", "lead"), "buckets"), "bucket"), "bucket-rows")
-
-    def pairs_of(led: DataFrame) -> DataFrame:
-        return led.where("member <> lead").select(F.least("member", "lead").alias("a"), F.greatest("member", "lead").alias("b")).distinct()
-
-    known = _verified(pairs_of(rows), docs, key, text)
-    roots = contracted(known.where(F.col("like") >= LIKE))
-    # Second leader where a bucket holds several classes.
-    mixed = _mixed(rows, roots)
-    if not mixed.isEmpty():
-        second = mixed.groupBy("bucket").agg(F.max_by("member", F.xxhash64("member", F.lit(2))).alias("lead2"))
-        led = mixed.join(second, "bucket")
-        led = _with_root(led, "lead2", roots, "root2").where("root <> root2")
-        more = led.select("member", F.col("lead2").alias("lead"))
-        known = materialize(known.union(_verified(pairs_of(more).join(known, ["a", "b"], "left_anti"), docs, key, text)), "likeness")
-        roots = contracted(known.where(F.col("like") >= LIKE))
-        mixed = _mixed(mixed.drop("root"), roots)
-        if not mixed.isEmpty():
-            rest = _across(mixed, known)
-            known = materialize(known.union(_verified(rest.join(known, ["a", "b"], "left_anti"), docs, key, text)), "likeness")
-            roots = contracted(known.where(F.col("like") >= LIKE))
-    links = known.where(F.col("like") >= LIKE).select(F.explode(F.array("a", "b")).alias("member")).groupBy("member").count()
-    named = members.select("h1", "h2", "member").join(roots.withColumnRenamed("id", "member"), "member", "left").join(links, "member", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "member").alias("root"), F.coalesce("count", F.lit(0)).alias("n_links"))
-    return signed.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select(
-        "id", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "h1", "h2"
-    )
-
-
-def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Stored: the rows (bucket, member, lead, root) of buckets whose members are of several classes."""
-    rooted = _with_root(rows.select("bucket", "member", "lead"), "member", roots, "root")
+    rows = materialize(rows.join(materialize(shared, "buckets"), "bucket"), "bucket-rows")
+    led = rows.where("member <> lead").select(F.col("lead").alias("a"), F.col("member").alias("b")).distinct()
+    links = _verified(led, docs, key, text).where(F.col("like") >= LIKE).select("a", "b")
+    roots = contracted(links)
+    more = _across(rows, roots, members, docs, key, text)
+    if not more.isEmpty():
+        roots = contracted(links.union(more))
+    named = members.select("h1", "h2", "member").join(roots.withColumnRenamed("id", "member"), "member", "left")
+    named = named.select("h1", "h2", F.coalesce("root", "member").alias("root"))
+    return signed.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", F.coalesce("root", "id").alias("class_id"))
+
+
+def _across(rows: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored: links (a, b) between members of different classes in buckets where leaders left several.
+
+    A bucket of two has nothing left to compare.  A larger one is dealt out by
+    pairs of blocks, so one bucket with very many members is many units of work.
+    """
+    rooted = rows.where("n > 2").join(roots.withColumnRenamed("id", "member"), "member", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "member"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    return materialize(rooted.join(several, "bucket"), "mixed")
-
-
-def _across(mixed: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of different classes in a bucket whose distances to the bucket's leader do not rule a link out."""
-    led = mixed.select("*", F.least("member", "lead").alias("a"), F.greatest("member", "lead").alias("b"))
-    led = led.join(known, ["a", "b"], "left").select(
-        "bucket", "member", "root", F.when(F.col("member") == F.col("lead"), F.lit(1.0)).otherwise(F.coalesce("like", F.lit(0.0))).alias("s")
+    mixed = materialize(rooted.join(several, "bucket").select("bucket", "band", "member", "root", "n"), "mixed")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("member"), blocks).cast("int")
+    dealt = mixed.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select(
+        "bucket", "band", "member", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    left = led.select("bucket", F.col("member").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa"))
-    right = led.select("bucket", F.col("member").alias("b"), F.col("root").alias("rb"), F.col("s").alias("sb"))
-    near = F.abs(F.col("sa") - F.col("sb")) <= 1 - LIKE + 1e-9
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    ids = materialize(mixed.select("member").distinct(), "mixed-ids")
+    texts = docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")).join(small_side(ids), "member", "left_semi")
+    info = texts.join(members.select("member", "bands").join(small_side(ids), "member", "left_semi"), "member")
+    unit = dealt.join(info, "member").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            cut = np.flatnonzero((batch[["bucket", "i", "j"]].diff().iloc[1:] != 0).any(axis=1).to_numpy()) + 1
+            pieces = [batch.iloc[x:y] for x, y in zip([0, *cut], [*cut, len(batch)])]
+            if held and len(pieces) and any(held[-1][c].iloc[0] != batch[c].iloc[0] for c in ("bucket", "i", "j")):
+                yield _block_links(pd.concat(held))
+                held = []
+            for k, piece in enumerate(pieces):
+                held.append(piece)
+                if k < len(pieces) - 1:
+                    yield _block_links(pd.concat(held))
+                    held = []
+        if held:
+            yield _block_links(pd.concat(held))
+
+    return materialize(unit.mapInPandas(compare, "a long, b long").distinct(), "more-links")
+
+
+def _block_links(unit: pd.DataFrame) -> pd.DataFrame:
+    """Links between classes among the members of one pair of blocks; enough of them to join what is joined."""
+    band, same = int(unit["band"].iloc[0]), unit["i"].iloc[0] == unit["j"].iloc[0]
+    member, label = unit["member"].to_numpy(), unit["root"].to_numpy().copy()
+    keys = np.stack(unit["bands"].to_numpy())[:, :band]
+    shingle, weight, owner, _, _ = elements(unit["text"].tolist())
+    cut = np.searchsorted(owner, np.arange(len(unit) + 1))
+    total = np.bincount(owner, weights=weight, minlength=len(unit))
+    first = unit["own"].to_numpy() == unit["i"].iloc[0]
+    found = []
+    for a in np.flatnonzero(first):
+        right = np.arange(len(unit)) > a if same else ~first
+        right = np.flatnonzero(right & (label != label[a]))
+        right = right[~(keys[right] == keys[a]).any(axis=1)]
+        if not len(right):
+            continue
+        mine, its = shingle[cut[a] : cut[a + 1]], weight[cut[a] : cut[a + 1]]
+        take = np.concatenate([np.arange(cut[b], cut[b + 1]) for b in right])
+        at = np.minimum(np.searchsorted(mine, shingle[take]), len(mine) - 1)
+        low = np.where(mine[at] == shingle[take], np.minimum(its[at], weight[take]), 0.0)
+        inside = np.bincount(np.repeat(np.arange(len(right)), cut[right + 1] - cut[right]), weights=low, minlength=len(right))
+        for b in right[inside / (total[a] + total[right] - inside) >= LIKE]:
+            if label[a] != label[b]:
+                found.append((member[a], member[b]))
+                label[label == label[b]] = label[a]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -57,7 +57,7 @@ def op9_minhash_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 
     found = near_dup.classes(_table(spark, folder, "documents"))
     return found.select(
-        F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("kept")
+        F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept")
     )
 
 
