@@ -113,3 +113,10 @@ def op8_token_files(spark: SparkSession, folder: str, vocabulary: str | None = N
     from sextant.llm import token_files
 
     return token_files.round_trip(_table(spark, folder, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import languages
+
+    return languages.predict(_table(spark, folder, "documents"))
