@@ -120,3 +120,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import languages
 
     return languages.predict(_table(spark, folder, "documents"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import licenses
+
+    return licenses.scan(_table(spark, folder, "documents"))
