@@ -26,7 +26,8 @@ empty table gives an empty result; only key and text are read.
 
 from __future__ import annotations
 
-import itertools
+import hashlib
+import json
 import os
 import re
 import struct
@@ -39,15 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sextant.llm import worker
 from sextant.scratch import materialize
 
 END_ID = 0
 BLOCK = 4096
-FILE_IDS = 2_000_000
+FILE_IDS = 500_000
 #: Documents in a key range, about; ranges are at least as many as shuffle partitions.
 RANGE_ROWS = 200_000
-SEEN = 400_000
+SEEN = 800_000
 CHARACTERS = 2_000_000
+#: Pieces of text that go through one call of the library.
+JOINT = 5_000
 
 #: Ids per word and bits per id by selector; the first two are runs of zeros.  Fixed values of the code.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -70,15 +74,20 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     end = np.repeat(stop, np.diff(np.append(np.arange(blocks) * block, n)))
     # The selector at each place: the first whose run of ids is all narrow enough and inside the block.
     choice = np.full(n, 15, np.int8)
-    place = np.arange(n)
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # bits; one more is possible beyond 53, where 60 follow
     open_ = np.ones(n, bool)
     for s in range(15):
-        wide = np.concatenate([[0], np.cumsum((ids >> np.uint64(WIDTHS[s])) != 0)])
+        narrow = width <= WIDTHS[s]
+        place = np.flatnonzero(open_ & narrow)
+        if not len(place):
+            continue
+        wide = np.concatenate([np.zeros(1, np.int32), np.cumsum(~narrow, dtype=np.int32)])
         last = place + COUNTS[s]
-        fits = open_ & (last <= end)
-        fits[fits] = wide[last[fits]] == wide[place[fits]]
-        choice[fits] = s
-        open_ &= ~fits
+        inside = last <= end[place]
+        place, last = place[inside], last[inside]
+        place = place[wide[last] == wide[place]]
+        choice[place] = s
+        open_[place] = False
     starts, owner = [], []
     at = np.arange(blocks) * block
     alive = np.arange(blocks)
@@ -173,6 +182,13 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def id_kind(definition: str) -> str:
+    """The narrowest of two integer kinds that holds every id of the vocabulary."""
+    spec = json.loads(definition)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), END_ID])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 class ChunkEncoder:
     """A library tokenizer asked once per piece of text that it treats on its own.
 
@@ -188,31 +204,46 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.seen: dict[str, tuple[int, ...]] = {}
+        # Answers stay with the worker process for its next task.
+        self.seen: dict[str, bytes] = worker.kept("pieces " + hashlib.md5(definition.encode()).hexdigest())
+        self.kind = id_kind(definition)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
         if len(self.seen) > SEEN:
             self.seen.clear()
         seen = self.seen
         pieces = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
         fresh = [*{p for one in pieces if one is not None for p in one if p not in seen}]
-        for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                seen[p] = tuple(e.ids)
+        # Pieces that start with white space and end with a word stay apart when they follow each other,
+        # so many go through one call; the tokens' places tell whose they are.
+        apart = [p for p in fresh if not (p[0].isspace() and not p[-1].isspace())]
+        for p, e in zip(apart, self.tokenizer.encode_batch(apart, add_special_tokens=False)):
+            seen[p] = self.packed(e.ids)
+        joint = [p for p in fresh if p not in seen]
+        for k in range(0, len(joint), JOINT):
+            part = joint[k : k + JOINT]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids = self.packed(found.ids)
+            start = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cut = (np.dtype(self.kind).itemsize * np.searchsorted(start, np.cumsum([0, *map(len, part)]))).tolist()
+            for p, x, y in zip(part, cut, cut[1:]):
+                seen[p] = ids[x:y]
         return [
-            self.tokenizer.encode(t, add_special_tokens=False).ids
-            if one is None
-            else [*itertools.chain.from_iterable(map(seen.__getitem__, one))]
+            self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if one is None else b"".join(map(seen.__getitem__, one))
             for t, one in zip(texts, pieces)
         ]
 
 
 def _encoded(docs: DataFrame, definition: str, key: str, text: str) -> DataFrame:
-    """(key, ids): ids of each text with the end id, packed as 4-byte integers."""
+    """(key, ids): ids of each text with the end id, packed as ``id_kind`` says."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = ChunkEncoder(definition)
+        end = encoder.packed([END_ID])
         for batch in batches:
             keys, texts = batch["key"].astype("Int64"), batch["text"].fillna("").tolist()
             begin, total = 0, 0
@@ -223,8 +254,8 @@ def _encoded(docs: DataFrame, definition: str, key: str, text: str) -> DataFrame
                     begin, total = k, 0
                 total += len(t)
             for a, b in [*cuts, (begin, len(texts))]:
-                packed = [np.array([*i, END_ID], "<u4").tobytes() for i in encoder.encode(texts[a:b])]
-                yield pd.DataFrame({"key": keys.iloc[a:b].to_numpy(object, na_value=None), "ids": packed})
+                ended = [i + end for i in encoder.encode(texts[a:b])]
+                yield pd.DataFrame({"key": keys.iloc[a:b].to_numpy(object, na_value=None), "ids": ended})
 
     pairs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return pairs.mapInPandas(encode, "key long, ids binary")
@@ -240,11 +271,14 @@ def write_files(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     shares = [k / ranges for k in range(1, ranges)]
     cuts = sorted(set(docs.agg(F.percentile_approx(F.col(key).cast("long"), shares or [0.5], 20 * ranges)).first()[0] or []))
 
+    kind = id_kind(definition)
+    wide = np.dtype(kind).itemsize
+
     def image(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, held = {}, []
 
         def flush(part: int) -> pd.DataFrame:
-            ids = [np.frombuffer(x, "<u4") for _, x in held]
+            ids = [np.frombuffer(x, kind) for _, x in held]
             keys = [None if pd.isna(k) else int(k) for k, _ in held]
             data = file_image(keys, np.array([len(i) for i in ids]), np.concatenate(ids))
             held.clear()
@@ -254,12 +288,12 @@ def write_files(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
         current, size = None, 0
         for batch in batches:
             for part, k, x in zip(batch["range"].tolist(), batch["key"].astype("Int64"), batch["ids"]):
-                if held and (part != current or size + len(x) // 4 > FILE_IDS):
+                if held and (part != current or size + len(x) // wide > FILE_IDS):
                     yield flush(current)
                     size = 0
                 current = part
                 held.append((k, x))
-                size += len(x) // 4
+                size += len(x) // wide
         if held:
             yield flush(current)
 

@@ -1,0 +1,12 @@
+"""What a Python worker keeps between tasks; a new worker starts empty, so nothing depends on it."""
+
+from __future__ import annotations
+
+import sys
+from types import ModuleType
+
+
+def kept(name: str) -> dict:
+    """A dictionary that lives as long as the worker process."""
+    holder = sys.modules.setdefault("_sextant_worker", ModuleType("_sextant_worker"))
+    return holder.__dict__.setdefault(name, {})
