@@ -27,6 +27,7 @@ empty table gives an empty result; only key and text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -77,15 +78,12 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     width = np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # bits; one more is possible beyond 53, where 60 follow
     open_ = np.ones(n, bool)
     for s in range(15):
-        narrow = width <= WIDTHS[s]
-        place = np.flatnonzero(open_ & narrow)
-        if not len(place):
+        # Places of narrow ids; a run of them shows in its last place being as far as it is long.
+        at, run = np.flatnonzero(width <= WIDTHS[s]), COUNTS[s] - 1
+        if len(at) <= run:
             continue
-        wide = np.concatenate([np.zeros(1, np.int32), np.cumsum(~narrow, dtype=np.int32)])
-        last = place + COUNTS[s]
-        inside = last <= end[place]
-        place, last = place[inside], last[inside]
-        place = place[wide[last] == wide[place]]
+        place = at[: len(at) - run][at[run:] - at[: len(at) - run] == run]
+        place = place[open_[place] & (place + run < end[place])]
         choice[place] = s
         open_[place] = False
     starts, owner = [], []
@@ -97,7 +95,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         at[alive] += COUNTS[choice[at[alive]]]
         alive = alive[at[alive] < stop[alive]]
     start, owner = np.concatenate(starts), np.concatenate(owner)
-    order = np.lexsort((start, owner))
+    order = np.argsort(start, kind="stable")
     start, owner = start[order], owner[order]
     selector = choice[start].astype(np.int64)
     word = selector.astype(np.uint64) << np.uint64(60)
@@ -217,7 +215,10 @@ class ChunkEncoder:
             self.seen.clear()
         seen = self.seen
         pieces = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        fresh = [*{p for one in pieces if one is not None for p in one if p not in seen}]
+        fresh = list(set(itertools.chain.from_iterable(p for p in pieces if p is not None)).difference(seen))
+        # A full stop or comma after a letter is a piece of its own, so the word is asked for alone.
+        marked = [p for p in fresh if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
+        fresh = list({*fresh, *(p[:-1] for p in marked if p[:-1] not in seen), ".", ","}.difference(marked))
         # Pieces that start with white space and end with a word stay apart when they follow each other,
         # so many go through one call; the tokens' places tell whose they are.
         apart = [p for p in fresh if not (p[0].isspace() and not p[-1].isspace())]
@@ -232,6 +233,8 @@ class ChunkEncoder:
             cut = (np.dtype(self.kind).itemsize * np.searchsorted(start, np.cumsum([0, *map(len, part)]))).tolist()
             for p, x, y in zip(part, cut, cut[1:]):
                 seen[p] = ids[x:y]
+        for p in marked:
+            seen[p] = seen[p[:-1]] + seen[p[-1]]
         return [
             self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if one is None else b"".join(map(seen.__getitem__, one))
             for t, one in zip(texts, pieces)
