@@ -85,7 +85,7 @@ FORBIDDEN_WORDS = [
 ]
 FORBIDDEN_PATTERN = r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b"
 LEADING_PATTERN = r"(?i)^\s*(SELECT|WITH)\b"
-LINE_COMMENT = r"(?m)--.*$"
+LINE_COMMENT = r"--[^\n]*"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 
 
@@ -102,13 +102,18 @@ def is_read_only(sql: str) -> tuple[bool, str]:
     return reason == "", reason
 
 
+def _stripped(text: Column) -> Column:
+    """Text without the white space at both ends, as ``str.strip`` sees it."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def audit_sql(df: DataFrame, column: str) -> DataFrame:
     """The same gate over a column of logged SQL: ``ok`` and ``reason`` ("ok" if allowed)."""
-    sql = F.coalesce(F.col(column), F.lit(""))
-    bare = F.regexp_replace(F.trim(sql), ";+$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, LINE_COMMENT, ""), BLOCK_COMMENT, "")
+    sql = _stripped(F.coalesce(F.col(column), F.lit("")))
+    bare = F.regexp_replace(sql, ";+\\z", "")
+    bare = _stripped(F.regexp_replace(F.regexp_replace(bare, LINE_COMMENT, ""), BLOCK_COMMENT, ""))
     reason = (
-        F.when(F.trim(sql) == "", "empty")
+        F.when(sql == "", "empty")
         .when(bare.rlike(FORBIDDEN_PATTERN), "forbidden_word")
         .when(~bare.rlike(LEADING_PATTERN), "not_select")
         .when(F.contains(bare, F.lit(";")), "multiple_statements")

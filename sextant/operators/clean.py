@@ -106,7 +106,8 @@ def merge_labels(df: DataFrame, column: str, labels: Sequence[str], primary: str
 def apply_label_map(df: DataFrame, label_map: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Apply many merges in one pass. ``label_map`` holds (column, label, primary).
 
-    A left join per mapped column. The stored map is broadcast while its count
+    Labels are trimmed, so cells are compared without the blanks around them. A
+    left join per mapped column. The stored map is broadcast while its count
     allows and goes through a skew-aware shuffle join beyond that.
     """
     unique = materialize(label_map.groupBy("column", "label").agg(F.min("primary").alias("primary")), "labels")
@@ -114,13 +115,14 @@ def apply_label_map(df: DataFrame, label_map: DataFrame, columns: Sequence[str])
     for c in columns:
         side = unique.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("primary").alias("_to"))
         result = (
-            result.join(small_side(side), quoted(c) == F.col("_label"), "left")
+            result.join(small_side(side), F.trim(quoted(c)) == F.col("_label"), "left")
             .withColumn(c, F.coalesce("_to", quoted(c)))
             .drop("_label", "_to")
         )
     return result.select(*[quoted(c) for c in df.columns])
 
 
+# Name parts of identifiers and of measures.
 ID_NAME_PARTS = ["_id", "id_", "uuid", "key", "code", "sku"]
 MEASURE_NAME_PARTS = ["goal", "price", "amount", "charge", "score", "age", "tenure"]
 
@@ -190,9 +192,9 @@ def quality_suggestions(df: DataFrame) -> DataFrame:
     return duplicates.unionByName(per_column).unionByName(labels)
 
 
-def quality_decisions(df: DataFrame, max_rows: int = 12, groups_per_column: int = 5) -> DataFrame:
-    """Choices left to the user: label groups to merge and numeric columns that may be identifiers."""
-    groups = similar_label_groups(df).where(F.col("group_no") <= groups_per_column)
+def quality_decisions(df: DataFrame) -> DataFrame:
+    """Choices left to the user: label groups to merge and numeric columns that may be identifiers, all of them in order."""
+    groups = similar_label_groups(df)
     order = {c: i for i, c in enumerate(df.columns)}
     merges = groups.groupBy("column", "group_no").agg(
         F.sort_array(F.collect_list("label")).alias("labels"),  # at most 80 labels per column
@@ -216,7 +218,7 @@ def quality_decisions(df: DataFrame, max_rows: int = 12, groups_per_column: int
     )
     place = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
     both = merges.unionByName(ids).withColumn("_place", place[F.col("column")])
-    return both.orderBy("type", "_place", "group_no").limit(max_rows).drop("_place")
+    return both.orderBy("type", "_place", "group_no").drop("_place")
 
 
 def _is_measure(name: str) -> bool:

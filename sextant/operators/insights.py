@@ -90,7 +90,7 @@ def _anomalies(df: DataFrame, limit: int = 2) -> DataFrame:
     )
 
 
-def explore(df: DataFrame, max_numeric: int = 8, max_categories: int = 6) -> dict[str, DataFrame]:
+def explore(df: DataFrame) -> dict[str, DataFrame]:
     """Exploratory profile: one lazy frame per section."""
     numbers, categories = numeric_columns(df), categorical_columns(df)
     sections = {"missing": profile.missing_profile(df), "date_columns": roles.date_column_scores(df)}
@@ -100,8 +100,8 @@ def explore(df: DataFrame, max_numeric: int = 8, max_categories: int = 6) -> dic
         sections["correlation"] = profile.corr_matrix(df)
     if categories:
         sections["value_counts"] = value_counts_topk(df, categories, 15)
-        sections["choices"] = value_counts_topk(df, categories[:max_categories], 20)
-    for c in numbers[:max_numeric]:
+        sections["choices"] = value_counts_topk(df, categories, 20)
+    for c in numbers:
         sections[f"histogram:{c}"] = profile.histogram(df, c)
     if numbers and categories:
         groupings = roles.suggested_groupings(df)
@@ -111,6 +111,6 @@ def explore(df: DataFrame, max_numeric: int = 8, max_categories: int = 6) -> dic
             sections[name] = relational.group_aggregate(df, g["group_col"], g["metric_col"])
     best = sections["date_columns"].first()  # one row per candidate column
     if best is not None and best["is_timestamp"]:
-        for c in numbers[:2]:
+        for c in numbers:
             sections[f"timeseries:{c}"] = relational.time_series_mean(df, best["column"], c)
     return sections

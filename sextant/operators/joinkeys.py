@@ -30,7 +30,7 @@ def key_text(df: DataFrame, name: str) -> Column:
     return quoted(name).cast("string")
 
 
-def discover_join_keys(spark: SparkSession, tables: dict[str, DataFrame], max_pairs: int | None = 8) -> DataFrame:
+def discover_join_keys(spark: SparkSession, tables: dict[str, DataFrame], max_pairs: int | None = None) -> DataFrame:
     """Column pairs of different tables that may join.
 
     Equal names count if at least a tenth of the smaller value set is shared or

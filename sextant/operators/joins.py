@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.columns import quoted
+
 BROADCAST_ROWS = 100_000
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys come once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [quoted(k).eqNullSafe(quoted(f"_k_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def small_side(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``side`` if a count proves it small; else leave a skew-aware shuffle join to Spark.
 

@@ -12,8 +12,8 @@ from sextant.columns import empty_like, text_columns
 from sextant.functions.similarity import MATCH_RATIO, alike, normalize, normalized
 from sextant.operators.frequencies import columns_within, value_frequencies
 
+# Fixed value: a column with more labels is free text, not a category.
 MAX_LABELS = 80
-MAX_GROUPS = 15
 GROUP_SCHEMA = "column string, group_no bigint, label string, n bigint"
 
 
@@ -48,7 +48,7 @@ def similar_label_groups(
         ordered = pdf.sort_values(["n", "label"], ascending=[False, True])
         left = [(label, n, normalize(label)) for label, n in zip(ordered["label"], ordered["n"])]
         rows, group_no = [], 0
-        while left and group_no < MAX_GROUPS:
+        while left:
             seed, *rest = left
             like = [x for x in rest if alike(seed[2], x[2], threshold)]
             left = [x for x in rest if x not in like]

@@ -18,7 +18,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.util import inheritable_thread_target
 
 from sextant.columns import (
@@ -32,7 +31,8 @@ from sextant.columns import (
 from sextant.functions.dates import date_parts, parse_mixed_date
 from sextant.operators import roles
 from sextant.operators.frequencies import cardinalities, columns_within, distinct_reaches, value_counts_topk
-from sextant.operators.joins import small_side
+from sextant.operators.joins import join_on_keys, small_side
+from sextant.operators.ordering import ONE_TASK_ROWS, number_rows
 from sextant.operators.profile import infer_types
 from sextant.operators.quantiles import column_quantiles
 from sextant.scratch import materialize
@@ -180,30 +180,33 @@ def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def stratified_split(
     df: DataFrame, label: str | None, key: Sequence[str], train_share: float = 0.8, seed: int = SEED,
-    exact_below: int = 10_000,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Add ``split``: train or test by a hash of the row key.
+    """Add ``split``: train, or test for the last rows of each class in the order of a hash of the key.
 
-    A large class is cut at a hash threshold, row by row and without a shuffle,
-    which is exact to within sampling noise. Only classes small enough for one
-    task are ranked, so that even a class of two rows gets its share.
+    One rule at every size: exactly the test share of a class, rounded up, is
+    held out; a class of one row stays in training. Without a label all rows
+    are one class. A class too large for one task is numbered slice by slice.
     """
-    ticket = F.pmod(F.xxhash64(*[quoted(c) for c in key], F.lit(seed)), F.lit(1_000_000))
-    work = df.withColumn("_ticket", ticket)
-    by_hash = F.when(F.col("_ticket") < int(train_share * 1_000_000), "train").otherwise("test")
-    if label is None:
-        return work.withColumn("split", by_hash).drop("_ticket")
-    sizes = materialize(df.groupBy(quoted(label).alias("_stratum")).agg(F.count("*").alias("_size")), "classes")
-    sized = work.join(small_side(sizes), quoted(label).eqNullSafe(F.col("_stratum"))).drop("_stratum")
-    large = sized.where(F.col("_size") > exact_below).withColumn("split", by_hash)
-    order = W.partitionBy(quoted(label)).orderBy("_ticket", *[quoted(c) for c in key])
+    work = df.withColumn("_ticket", split_ticket(key, seed))
+    keys = ["_stratum"] if label is not None else []
+    if keys:
+        work = work.withColumn("_stratum", quoted(label))
+    numbered = number_rows(work, ["_ticket", *key], keys, "_no", one_task_rows)
+    if keys:
+        sizes = materialize(df.groupBy(quoted(label).alias("_stratum")).agg(F.count("*").alias("_size")), "classes")
+        numbered = join_on_keys(numbered, small_side(sizes), keys)
+    else:
+        numbered = numbered.withColumn("_size", F.lit(df.count()))
     n_test = F.ceil((1 - train_share) * F.col("_size") - 1e-9)
-    placed = F.row_number().over(order) > F.col("_size") - n_test
-    singleton = F.col("_size") < 2
-    small = sized.where(F.col("_size") <= exact_below).withColumn(
-        "split", F.when(placed & ~singleton, "test").otherwise("train")
-    )
-    return large.unionByName(small).drop("_ticket", "_size")
+    held = (F.col("_no") > F.col("_size") - n_test) & (F.col("_size") >= 2)
+    return numbered.withColumn("split", F.when(held, "test").otherwise("train")).drop("_ticket", "_stratum", "_no", "_size")
+
+
+def split_ticket(key: Sequence[str], seed: int = SEED) -> Column:
+    """Hash that orders rows for the split: MD5 of the key cells and the seed as text."""
+    cells = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in key]
+    return F.md5(F.concat_ws("|", *cells, F.lit(str(seed))).cast("binary"))
 
 
 # -- models -----------------------------------------------------------------
@@ -300,7 +303,8 @@ def train_models(
         data = data.withColumn("_label", quoted(features.target).cast("string"))
         split = stratified_split(data, "_label", key)
     else:
-        split = stratified_split(data.withColumn("_y", as_double(data, features.target)), None, key)
+        data = data.withColumn("_y", as_double(data, features.target)).where("_y is not null")
+        split = stratified_split(data, None, key)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     stages = encoder(features)
     n_classes = 0

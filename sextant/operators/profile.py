@@ -243,6 +243,17 @@ def iqr_outliers(
     return rows_from_wide(df.agg(*aggs), records).where("n_outliers > 0")
 
 
+def outlier_rows(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5, min_values: int = 4) -> DataFrame:
+    """The rows behind the outlier counts, each with the names of its columns outside the fences."""
+    columns = list(columns or numeric_columns(df))
+    tests = []
+    for c, (low, high, _) in fences(df, columns, k, min_values).items():
+        v = as_double(df, c)
+        tests.append(F.when((v < F.lit(low)) | (v > F.lit(high)), F.lit(c)))
+    names = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    return df.withColumn("outlier_columns", names).where(F.size("outlier_columns") > 0)
+
+
 def outlier_examples(df: DataFrame, columns: Sequence[str] | None = None, examples: int = 5) -> DataFrame:
     """Outlier counts with the most extreme distinct values as examples, one row per example."""
     columns = list(columns or numeric_columns(df))
@@ -275,9 +286,9 @@ def outlier_examples(df: DataFrame, columns: Sequence[str] | None = None, exampl
     )
 
 
-def spike_dip(df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = 12) -> DataFrame:
+def spike_dip(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Few values beyond 2.5 IQR: ``spike`` above, ``dip`` below; many such values are no anomaly."""
-    columns = list(columns or numeric_columns(df))[:max_columns]
+    columns = list(columns or numeric_columns(df))
     bounds = fences(df, columns, 2.5, 8)
     schema = "column string, kind string, n_flagged bigint, fence double"
     if not bounds:
@@ -300,11 +311,9 @@ def spike_dip(df: DataFrame, columns: Sequence[str] | None = None, max_columns:
     return rows_from_wide(df.agg(*aggs), records).where("n_flagged > 0")
 
 
-def imbalance(
-    df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.85, max_columns: int = 8
-) -> DataFrame:
+def imbalance(df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.85) -> DataFrame:
     """Categorical columns dominated by one value; null counts as a value of its own."""
-    columns = list(columns or text_columns(df))[:max_columns]
+    columns = list(columns or text_columns(df))
     if not columns:
         return empty_like(df, "column string, top_value string, top_share double, n_values bigint")
     freq = value_frequencies(df, columns, keep_null=True)
@@ -326,8 +335,9 @@ def imbalance(
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins, the last one closed; empty bins are reported with 0."""
-    v = as_double(df, column)
+    """Equal-width bins, the last one closed; empty bins are reported with 0. Infinite values have no bin."""
+    cell = as_double(df, column)
+    v = F.when(F.abs(cell) < F.lit(float("inf")), cell)
     extent = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias("e")).scalar()
     low, high = extent["low"], extent["high"]
     width = F.nullif((high - low) / bins, F.lit(0.0))
@@ -543,6 +553,7 @@ def quality_facts(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """One row: the four penalties and the score from 0 to 100."""
+    df = without_nan(df)
     rows = F.expr("nullif(n_rows, 0)")
     facts = (
         quality_facts(df)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sextant.columns import as_double, quoted
-from sextant.operators.joins import small_side
+from sextant.operators.joins import join_on_keys, small_side
 from sextant.operators.ordering import running_count
 
 # Rows the built-in percentile may buffer, and rows one task may sort.
@@ -96,7 +96,8 @@ def column_quantiles(
             return None
         place = (counts[v] - 1) * p
         low, high = ranks[(v, math.floor(place))].low, ranks[(v, math.ceil(place))].low
-        return low if low == high else low + (high - low) * (place - math.floor(place))
+        # The same weighing as Spark's percentile, so that both paths agree to the last digit.
+        return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
 
     return {
         c: ColumnQuantiles(counts[v], [interpolate(v, p) for p in probs]) for c, v in zip(columns, values.columns)
@@ -225,11 +226,12 @@ def grouped_medians(
         return freq.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias(name))
     totals = freq.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     upto = running_count(freq, keys, [value], "_n", "_upto")
-    joined = upto.join(small_side(totals), keys)
+    joined = join_on_keys(upto, small_side(totals), keys)
     first, second = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     holds = lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_n"))
     return joined.groupBy(*keys).agg(
+        # Halves as weights, as Spark's percentile has them.
         (
-            F.max(F.when(holds(first), quoted(value))) / 2 + F.max(F.when(holds(second), quoted(value))) / 2
+            0.5 * F.max(F.when(holds(first), quoted(value))) + 0.5 * F.max(F.when(holds(second), quoted(value)))
         ).alias(name)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from sextant.columns import as_double, is_numeric, quoted, rows_from_wide
 from sextant.functions.dates import elapsed_days
-from sextant.operators.joins import small_side
+from sextant.operators.joins import join_on_keys, small_side
 from sextant.operators.ordering import ONE_TASK_ROWS, number_rows, with_previous
 from sextant.scratch import materialize
 
@@ -95,12 +95,12 @@ def event_gaps(
 def event_index(
     df: DataFrame, time: str, order_by: Sequence[str], keys: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """Event number 1..n and days since the first event of the same key."""
+    """Event number 1..n and days since the first event of the same key; a null key is a key of its own."""
     known = df.where(quoted(time).isNotNull())
     numbered = number_rows(known, [time, *order_by], keys, "event_no", one_task_rows)
     if keys:
         first = known.groupBy(*keys).agg(F.min(time).alias("_first"))
-        numbered = numbered.join(small_side(first), list(keys))
+        numbered = join_on_keys(numbered, small_side(first), list(keys))
         return numbered.withColumn("elapsed_days", elapsed_days(quoted(time), F.col("_first"))).drop("_first")
     first_time = known.agg(F.min(time)).scalar()
     return numbered.withColumn("elapsed_days", elapsed_days(quoted(time), first_time))

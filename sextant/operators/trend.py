@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.columns import as_double, quoted, rows_from_wide, time_columns
 from sextant.functions.dates import add_days, elapsed_days, parse_mixed_date, strip_null_tokens
-from sextant.operators.joins import small_side
+from sextant.operators.joins import join_on_keys, small_side
 from sextant.operators.ordering import ONE_TASK_ROWS, number_rows, with_previous
 from sextant.operators.quantiles import grouped_medians
 from sextant.operators.relational import time_series_mean
@@ -17,7 +17,6 @@ from sextant.scratch import materialize
 
 BAND_Z = 1.96
 BAND_GROWTH = 0.1
-MAX_HORIZON = 36
 IRREGULAR_CV = 0.35
 IRREGULAR_RATIO = 3.0
 
@@ -60,8 +59,9 @@ class Series:
     residual steps all read it; it is far smaller than the input rows.
     """
 
-    def __init__(self, points: DataFrame, keys: list[str], dated: bool):
+    def __init__(self, points: DataFrame, keys: list[str], dated: bool, every: DataFrame):
         self.points = points
+        self.every = every  # keys of all series, also of those without a usable point
         self.keys = keys
         self.dated = dated
 
@@ -75,17 +75,21 @@ class Series:
             stamp = parse_mixed_date(quoted(time).cast("string"))
         rows = df.select(*[quoted(k) for k in keys], stamp.alias("ts"), as_double(df, metric).alias("y"))
         rows, keys = cls._keyed(rows, keys)
-        means = materialize(time_series_mean(rows, "ts", "y", keys).drop("n_rows"), "series")
+        # Cells without a time or value stay in the stored table as one row per series and kind, so that no series is lost.
+        stored = materialize(
+            rows.groupBy(*keys, "ts").agg(F.avg("y").alias("y")), "series"
+        )
+        means = stored.where("ts is not null and y is not null")
         chained = with_previous(means, ["ts"], "ts", "_previous", keys, one_task_rows)
         first = means.groupBy(*keys).agg(F.min("ts").alias("_first"))
-        points = chained.join(small_side(first), keys).select(
+        points = join_on_keys(chained, small_side(first), keys).select(
             *keys,
             "ts",
             "y",
             elapsed_days(F.col("ts"), F.col("_first")).alias("t"),
             elapsed_days(F.col("ts"), F.col("_previous")).alias("gap_days"),
         )
-        return cls(points, keys, True)
+        return cls(points, keys, True, stored.select(*keys).distinct())
 
     @classmethod
     def by_order(
@@ -95,12 +99,13 @@ class Series:
         """Series without usable dates: the position is the event number."""
         keys = list(keys)
         y = as_double(df, metric)
-        rows = df.where(y.isNotNull()).select(
+        rows = df.select(
             *[quoted(k) for k in keys], *[quoted(c).alias(f"_o{i}") for i, c in enumerate(order_by)], y.alias("y")
         )
         rows, keys = cls._keyed(rows, keys)
         order = [f"_o{i}" for i in range(len(order_by))]
-        numbered = materialize(number_rows(rows, order, keys, "_no", one_task_rows), "series")
+        known = rows.where("y is not null")
+        numbered = materialize(number_rows(known, order, keys, "_no", one_task_rows), "series")
         points = numbered.select(
             *keys,
             F.lit(None).cast("timestamp").alias("ts"),
@@ -108,15 +113,13 @@ class Series:
             (F.col("_no") - 1).cast("double").alias("t"),
             F.when(F.col("_no") > 1, F.lit(1.0)).alias("gap_days"),
         )
-        return cls(points, keys, False)
+        return cls(points, keys, False, rows.select(*keys).distinct())
 
     @staticmethod
     def _keyed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-        """Give an ungrouped series a constant key, and leave out rows without a key."""
+        """Give an ungrouped series a constant key; rows without a key are a series of their own."""
         if not keys:
             return rows.withColumn(_ALL, F.lit(1)), [_ALL]
-        for k in keys:
-            rows = rows.where(quoted(k).isNotNull())
         return rows, keys
 
     def plain(self, df: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def spacing(series: Series) -> DataFrame:
         F.max("gap_days").alias("max_gap"),
     )
     medians = grouped_medians(series.points, series.keys, "gap_days", "median_gap")
-    both = stats.join(medians, series.keys, "left")
+    both = join_on_keys(stats, medians, series.keys, "left")
     irregular = (F.col("n_gaps") >= 2) & (
         (F.col("mean_gap") <= 0)
         | F.coalesce(F.try_divide(F.col("max_gap"), F.col("median_gap")) >= IRREGULAR_RATIO, F.lit(False))
@@ -169,7 +172,7 @@ def trend_fit(series: Series) -> DataFrame:
     between = (F.col("y") > F.col("_miny")) & (F.col("y") < F.col("_maxy"))
     residual = F.col("y") - F.col("intercept") - F.col("slope") * F.col("t")
     squares = (
-        series.points.join(small_side(fit.select(*keys, "slope", "intercept", "_my", "_miny", "_maxy")), keys)
+        join_on_keys(series.points, small_side(fit.select(*keys, "slope", "intercept", "_my", "_miny", "_maxy")), keys)
         .groupBy(*keys)
         .agg(
             F.sum(residual * residual).alias("_sse"),
@@ -187,23 +190,24 @@ def trend_fit(series: Series) -> DataFrame:
         .when(few_values & (F.col("_sd") < F.col("_absy") * 0.01), "nearly_constant")
         .otherwise("ok")
     )
-    return (
-        fit.join(squares, keys)
-        .join(spacing(series).select(*keys, "irregular", "step_days"), keys)
-        .select(
-            *keys,
-            "n",
-            "last_ts",
-            "last_t",
-            "slope",
-            "intercept",
-            (1 - F.try_divide("_sse", "_sst")).alias("r2"),
-            F.when(scale > 0, scale).otherwise(floor).alias("resid_std"),
-            "step_days",
-            "irregular",
-            (F.col("_miny") >= -1e-12).alias("nonnegative"),
-            status.alias("status"),
-        )
+    fitted = join_on_keys(
+        join_on_keys(fit, squares, keys), spacing(series).select(*keys, "irregular", "step_days"), keys
+    ).select(
+        *keys,
+        "n",
+        "last_ts",
+        "last_t",
+        "slope",
+        "intercept",
+        (1 - F.try_divide("_sse", "_sst")).alias("r2"),
+        F.when(scale > 0, scale).otherwise(floor).alias("resid_std"),
+        "step_days",
+        "irregular",
+        (F.col("_miny") >= -1e-12).alias("nonnegative"),
+        status.alias("status"),
+    )
+    return join_on_keys(series.every, fitted, keys, "left").withColumns(
+        {"n": F.coalesce("n", F.lit(0)), "status": F.coalesce("status", F.lit("too_few"))}
     )
 
 
@@ -214,7 +218,7 @@ def trend_forecast(fit: DataFrame, keys: Sequence[str], horizon: int | Column, d
     the step and are clipped at 0 if the history never is negative.
     """
     steps = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    steps = F.least(F.greatest(steps.cast("int"), F.lit(1)), F.lit(MAX_HORIZON))
+    steps = F.greatest(steps.cast("int"), F.lit(1))
     ahead = fit.where("status = 'ok'").withColumn("h", F.explode(F.sequence(F.lit(1), steps)))
     at = F.col("last_t") + F.col("step_days") * F.col("h")
     point = F.col("intercept") + F.col("slope") * at
@@ -239,9 +243,18 @@ def trend_forecast(fit: DataFrame, keys: Sequence[str], horizon: int | Column, d
 
 
 def forecast_by_time(
-    df: DataFrame, time: str, metric: str, keys: Sequence[str] = (), horizon: int | None = None, period: str = ""
+    df: DataFrame, time: str, metric: str, keys: Sequence[str] = (), horizon: int | None = None, period: str = "",
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Fit and extrapolate in one call; the horizon follows from the period word if not given."""
+    """Fit and extrapolate in one call; the horizon follows from the period word if not given.
+
+    A text column that does not read as dates falls back to the order of the
+    events by ``order_by``, which must be named for that.
+    """
+    if time not in time_columns(df) and not date_parse_quality(df, [time]).first()["parse_ok"]:
+        if not order_by:
+            raise ValueError(f"{time} does not read as dates; name columns to order the events by")
+        return forecast_by_order(df, order_by, metric, keys, horizon or EVENT_STEPS.get(period, 5))
     series = Series.by_time(df, time, metric, keys)
     fit = trend_fit(series)
     steps = F.lit(horizon) if horizon is not None else horizon_steps(period, F.col("step_days"), F.col("irregular"))
@@ -257,12 +270,18 @@ def forecast_by_order(
 
 # Steps ahead per period word for event series, and days per period for dated ones.
 EVENT_STEPS = {"season": 10, "year": 12, "quarter": 6, "month": 5, "week": 3}
-PERIOD_DAYS = {"year": 365, "season": 365, "quarter": 90, "month": 30, "week": 7}
+EVENT_WORDS = ["season", "match", "game", "event", "fixture"]
+PERIOD_DAYS = {"year": 365, "quarter": 90, "month": 30, "week": 7}
 
 
 def horizon_steps(period: str, step_days: Column, irregular: Column) -> Column:
-    """Number of steps a period word stands for, given the spacing of the series."""
+    """Number of steps a period word stands for, given the spacing of the series.
+
+    A word for an event counts events, however regular the series is.
+    """
     event = F.lit(EVENT_STEPS.get(period, 5))
+    if period in EVENT_WORDS:
+        return event.cast("int")
     if period in PERIOD_DAYS:
         days = F.lit(float(PERIOD_DAYS[period])) / F.greatest(step_days, F.lit(1.0))
         dated = F.greatest(F.lit(1), F.bround(days).cast("int"))

@@ -239,6 +239,16 @@ def _round_fences(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.round(c, 2).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
+@query(
+    "outlier_rows",
+    f"{MESSY_SQL}, b as ({_fence_sql('messy', 'total_price', 1.5)}) "
+    "select order_id, total_price, 'total_price' as columns from messy, b where total_price < low or total_price > high",
+)
+def outlier_rows(t: Tables) -> DataFrame:
+    found = P.outlier_rows(t.messy, ["total_price"])
+    return found.select("order_id", "total_price", F.concat_ws(",", "outlier_columns").alias("columns"))
+
+
 @query(
     "outlier_examples",
     f"{MESSY_SQL}, b as ({_fence_sql('messy', 'total_price', 1.5)}), "

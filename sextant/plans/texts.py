@@ -32,18 +32,6 @@ def doc_chunks(t: Tables) -> DataFrame:
     return X.chunk_documents(t.documents, "doc_id", "text", F.col("source"))
 
 
-@query(
-    "short_doc_chunks",
-    r"""
-    select doc_id, cast(0 as bigint) as chunk_index, regexp_replace(text, '^\s+|\s+$', '', 'g') as text
-    from documents where length(text) <= 500 and length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0
-    """,
-)
-def short_doc_chunks(t: Tables) -> DataFrame:
-    short = t.documents.where(F.length("text") <= 500)
-    return X.chunk_documents(short, "doc_id", "text").select("doc_id", "chunk_index", "text")
-
-
 @query("chunk_counts", f"with {_CHUNK_SQL} select source_type, count(*) as n_chunks from chunks group by 1")
 def chunk_counts(t: Tables) -> DataFrame:
     return X.chunk_counts(X.chunk_documents(t.documents, "doc_id", "text", F.col("source")))
@@ -89,7 +77,7 @@ def exchange_text(t: Tables) -> DataFrame:
     "findings_rollup",
     """
     with f as (select conv_id * 1000 + turn as seq, role as agent, text as summary from conversations where length(text) > 40)
-    select agent, count(*) as n_findings, max(seq) as last_seq, substr(arg_max(summary, seq), 1, 300) as last_summary
+    select agent, count(*) as n_findings, max(seq) as last_seq, arg_max(summary, seq) as last_summary
     from f group by agent
     """,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import trend as T
-from sextant.plans.catalog import Tables, query, rounded, sql_rounded
+from sextant.plans.catalog import ORACLES, Tables, query, rounded, sql_rounded
 from sextant.plans.inputs import DAILY_SQL, daily_events
 
 
@@ -131,6 +131,15 @@ def trend_forecast_events(t: Tables) -> DataFrame:
     return _rounded_forecast(T.forecast_by_order(rows, ["ts", "event_id"], "value", ["event_type"], horizon=5))
 
 
+@query("trend_fallback", ORACLES["trend_forecast_events"])
+def trend_fallback(t: Tables) -> DataFrame:
+    """Times that cannot be read as dates: the forecast goes by the order of the events."""
+    rows = t.events.select("event_type", "ts", "event_id", "value", F.concat(F.lit("no date "), "event_id").alias("when"))
+    return _rounded_forecast(
+        T.forecast_by_time(rows, "when", "value", ["event_type"], horizon=5, order_by=["ts", "event_id"])
+    )
+
+
 @query(
     "trend_status",
     f"with {_BY_USER} select user_id, n, status from fit",
@@ -143,8 +152,10 @@ _WORDS = ["year", "season", "quarter", "month", "week", "day", ""]
 
 
 def _steps_sql(word: str) -> str:
-    event = T.EVENT_STEPS.get(word, 5)
-    days = T.PERIOD_DAYS.get(word)
+    event = {"year": 12, "quarter": 6, "month": 5, "week": 3}.get(word, 5)
+    if word == "season":
+        return "cast(10 as int) as steps_season"
+    days = {"year": 365, "quarter": 90, "month": 30, "week": 7}.get(word)
     dated = f"greatest(1, cast(round_even({days} / greatest(step_days, 1.0), 0) as int))" if days else (7 if word == "day" else 3)
     return f"cast(case when irregular then {event} else {dated} end as int) as steps_{word or 'default'}"
 

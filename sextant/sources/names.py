@@ -36,8 +36,8 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names([clean_name(c) for c in df.columns]))
 
 
-def table_name(name: str, max_length: int = 48) -> str:
+def table_name(name: str) -> str:
     base = "_".join(part for part in re.split(r"[\W_]+", str(name).strip().lower()) if part) or "table"
     if base[0].isdigit():
         base = f"t_{base}"
-    return base[:max_length]
+    return base

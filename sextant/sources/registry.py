@@ -96,10 +96,10 @@ class TableRegistry:
             raise ValueError(reason)
         return self.spark.sql(sql, args=params or {})
 
-    def join_keys(self, max_pairs: int | None = 8) -> DataFrame:
+    def join_keys(self, max_pairs: int | None = None) -> DataFrame:
         return discover_join_keys(self.spark, self.tables, max_pairs)
 
-    def describe(self, top_joins: int = 5) -> DataFrame:
+    def describe(self, top_joins: int | None = None) -> DataFrame:
         return catalog_overview(self.spark, self.tables, top_joins)
 
 
@@ -108,7 +108,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def catalog_overview(spark: SparkSession, tables: dict[str, DataFrame], top_joins: int = 5) -> DataFrame:
+def catalog_overview(spark: SparkSession, tables: dict[str, DataFrame], top_joins: int | None = None) -> DataFrame:
     """(kind, table, item, detail): row counts, columns with types, and the likeliest join keys."""
     columns = spark.createDataFrame(
         [("column", t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema],

@@ -163,7 +163,7 @@ def test_clean_names():
     assert unique_names(["a", "a", "a_1", "a"]) == ["a", "a_2", "a_1", "a_3"]
     assert len(set(unique_names(["a", "a", "a_1"]))) == 3
     assert table_name("2024 Sales.csv") == "t_2024_sales_csv"
-    assert len(table_name("x" * 90)) == 48
+    assert table_name("x" * 90) == "x" * 90
 
 
 def test_csv(spark, tmp_path):

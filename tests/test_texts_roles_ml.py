@@ -75,6 +75,24 @@ def test_nearest_equals_brute_force(spark, metric, block):
         assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == list(expected)
 
 
+def test_nearest_with_text_ids_nulls_and_a_repeated_id(spark):
+    vectors = spark.createDataFrame(
+        [(f"v{i}", [float(i), 0.0]) for i in range(50)] + [("none", None)], "vec_id string, embedding array<double>"
+    )
+    asked = spark.createDataFrame(
+        [("a", [3.2, 0.0]), ("a", [40.1, 0.0]), ("b", None)], "query_id string, embedding array<double>"
+    )
+    found = X.nearest(vectors, asked, 1, block=1, shard_rows=7)
+    assert sorted((r["query_id"], r["vec_id"]) for r in found.collect()) == [("a", "v3"), ("a", "v40")]
+
+
+def test_nearest_with_many_queries(spark):
+    vectors = spark.range(40).selectExpr("id as vec_id", "array(double(id), 1D) as embedding")
+    asked = spark.range(10_000).selectExpr("if(id < 5000, -1, id) as query_id", "array(double(id % 40), 1D) as embedding")
+    found = X.nearest(vectors, asked, 2)
+    assert found.where("rank = 1 and distance = 0").count() == 10_000 and found.where("rank = 2").count() == 10_000
+
+
 def test_citations(spark):
     hits = spark.createDataFrame([(0, 1, 1)], "query_id int, vec_id int, rank int")
     texts = spark.createDataFrame([(1, "ml", "x" * 201)], "vec_id int, source_type string, text string")
@@ -231,18 +249,17 @@ def test_rare_labels_are_pooled(spark):
     assert pooled.count() == 1000
 
 
-@pytest.mark.parametrize("exact_below", [10_000, 0])
-def test_split_is_stratified_and_repeatable(spark, exact_below):
+@pytest.mark.parametrize("one_task_rows", [2_000_000, 100])
+def test_split_is_stratified_and_repeatable(spark, one_task_rows):
     df = spark.range(2000).selectExpr("id", "if(id % 10 = 0, 'rare', 'common') as y").unionByName(
         spark.createDataFrame([(5000, "pair"), (5001, "pair"), (5002, "single")], "id bigint, y string")
     )
-    split = ml.stratified_split(df, "y", ["id"], exact_below=exact_below)
+    split = ml.stratified_split(df, "y", ["id"], one_task_rows=one_task_rows)
     counts = {(r["y"], r["split"]): r["count"] for r in split.groupBy("y", "split").count().collect()}
     assert sum(counts.values()) == 2003
-    assert counts[("common", "test")] == pytest.approx(360, abs=0 if exact_below else 60)
-    if exact_below:
-        assert counts[("rare", "test")] == 40 and counts[("pair", "test")] == 1 and counts[("single", "train")] == 1
-    again = ml.stratified_split(df.repartition(5), "y", ["id"], exact_below=exact_below)
+    assert counts[("common", "test")] == 360
+    assert counts[("rare", "test")] == 40 and counts[("pair", "test")] == 1 and counts[("single", "train")] == 1
+    again = ml.stratified_split(df.repartition(5), "y", ["id"], one_task_rows=one_task_rows)
     assert split.exceptAll(again).count() == 0
 
 
