@@ -500,7 +500,7 @@ _KEY_COLUMNS = {
         f"{_overlap_sql(lt, le, rt, re)} as overlap from (select 1)"
         for place, (lt, le, rt, re, name) in enumerate(_PAIRS)
     )
-    + ") where overlap >= 0.1 or contains(name, 'key') order by place limit 5)",
+    + ") where overlap >= 0.1 or contains(name, 'key'))",
 )
 def overview(t: Tables) -> DataFrame:
     return catalog_overview(t.spark, _key_tables(t))
