@@ -49,7 +49,7 @@ BLOCK = 4096
 FILE_IDS = 500_000
 #: Documents in a key range, about; ranges are at least as many as shuffle partitions.
 RANGE_ROWS = 200_000
-SEEN = 800_000
+SEEN = 1_000_000
 CHARACTERS = 2_000_000
 #: Pieces of text that go through one call of the library.
 JOINT = 5_000
@@ -187,6 +187,14 @@ def id_kind(definition: str) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
+def token_bytes(definition: str) -> np.ndarray:
+    """Bytes of text each id stands for; a byte-level vocabulary spells one character a byte."""
+    spec = json.loads(definition)
+    size = {i: len(t) for t, i in spec["model"]["vocab"].items()}
+    size |= {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+    return np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
+
+
 class ChunkEncoder:
     """A library tokenizer asked once per piece of text that it treats on its own.
 
@@ -202,6 +210,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.widths = token_bytes(definition)
         # Answers stay with the worker process for its next task.
         self.seen: dict[str, bytes] = worker.kept("pieces " + hashlib.md5(definition.encode()).hexdigest())
         self.kind = id_kind(definition)
@@ -211,26 +220,30 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.seen) > SEEN:
-            self.seen.clear()
         seen = self.seen
         pieces = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        fresh = list(set(itertools.chain.from_iterable(p for p in pieces if p is not None)).difference(seen))
+        asked = set(itertools.chain.from_iterable(p for p in pieces if p is not None))
+        if len(seen) > SEEN:
+            # What this batch asks for is kept, so common pieces outlive the rest.
+            common = {p: seen[p] for p in asked.intersection(seen)}
+            seen.clear()
+            seen.update(common)
+        fresh = list(asked.difference(seen))
         # A full stop or comma after a letter is a piece of its own, so the word is asked for alone.
         marked = [p for p in fresh if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
         fresh = list({*fresh, *(p[:-1] for p in marked if p[:-1] not in seen), ".", ","}.difference(marked))
         # Pieces that start with white space and end with a word stay apart when they follow each other,
-        # so many go through one call; the tokens' places tell whose they are.
+        # so many go through one call; the bytes the tokens stand for tell whose they are.
         apart = [p for p in fresh if not (p[0].isspace() and not p[-1].isspace())]
         for p, e in zip(apart, self.tokenizer.encode_batch(apart, add_special_tokens=False)):
             seen[p] = self.packed(e.ids)
         joint = [p for p in fresh if p not in seen]
         for k in range(0, len(joint), JOINT):
             part = joint[k : k + JOINT]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = self.packed(found.ids)
-            start = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cut = (np.dtype(self.kind).itemsize * np.searchsorted(start, np.cumsum([0, *map(len, part)]))).tolist()
+            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ids, stop = found.tobytes(), np.cumsum(self.widths[found])
+            size = [0, *(len(p) if p.isascii() else len(p.encode()) for p in part)]
+            cut = (found.itemsize * np.searchsorted(stop, np.cumsum(size), "right")).tolist()
             for p, x, y in zip(part, cut, cut[1:]):
                 seen[p] = ids[x:y]
         for p in marked:
