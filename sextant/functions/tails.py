@@ -13,77 +13,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-# Above this the log-gamma differences lose digits and the limit law is closer.
-LARGE_DOF = 1e7
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, evaluated front to back."""
-    tiny = 1e-300
-    value, c, d = 1.0, 1.0, 0.0
-    for step in range(200_000):
-        half = step // 2
-        if step == 0:
-            term = 1.0
-        elif step % 2 == 0:
-            term = half * (b - half) * x / ((a + 2 * half - 1) * (a + 2 * half))
-        else:
-            term = -(a + half) * (a + b + half) * x / ((a + 2 * half) * (a + 2 * half + 1))
-        d = 1.0 + term * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + term / c
-        c = c if abs(c) > tiny else tiny
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Continued fraction of the incomplete beta function by Didonato and Morris.
+
+    It holds a y - b x instead of differences from 1, so it loses no digits when y is tiny.
+    """
+    value = c = a * (a * y - b * x + 1.0) / (a + 1.0)
+    d = 0.0
+    for m in range(1, 200_000):
+        odd = a + 2 * m - 1
+        top = (a + m - 1) / odd * (a + b + m - 1) / odd * m * (b - m) * x * x
+        bottom = m + m * (b - m) * x / odd + (a + m) / (odd + 2) * (a * y - b * x + 1.0 + m * (1.0 + y))
+        d = 1.0 / (bottom + top * d)
+        c = bottom + top / c
         value *= c * d
         if abs(1.0 - c * d) < 1e-15:
             break
-    return value - 1.0
+    return 1.0 / value
 
 
-def regularized_beta(a: float, b: float, x: float) -> float:
-    """I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - regularized_beta(b, a, 1.0 - x)
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    return math.exp(log_front) * _beta_fraction(a, b, x) / a
+def _stirling_rest(a: float) -> float:
+    """ln Γ(a) without its leading terms (a - 1/2) ln a - a + ln √(2π)."""
+    if a < 10.0:
+        return math.lgamma(a) - (a - 0.5) * math.log(a) + a - 0.5 * math.log(2 * math.pi)
+    inverse = 1.0 / (a * a)
+    return (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / a
+
+
+def _log_beta_front(a: float, b: float, x: float, y: float) -> float:
+    """ln of x^a y^b / B(a, b) for y = 1 - x; no difference of large logarithms is taken.
 
+    The leading terms of the gamma functions join the powers: a ln(x (a+b) / a) and b ln(y (a+b) / b).
+    """
+    off = b * x - a * y  # x = (a + off) / (a + b), y = (b - off) / (a + b)
+    powers = a * (math.log1p(off / a) if off > -0.5 * a else math.log(x / a * (a + b)))
+    powers += b * (math.log1p(-off / b) if off < 0.5 * b else math.log(y / b * (a + b)))
+    rest = _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b)
+    return powers + rest + 0.5 * (math.log(a) - math.log1p(a / b) - math.log(2 * math.pi))
 
-def upper_gamma(s: float, x: float) -> float:
-    """Q(s, x), the regularised upper incomplete gamma function."""
+
+def regularized_beta(a: float, b: float, x: float, y: float | None = None) -> float:
+    """I_x(a, b); ``y`` is 1 - x where the caller has it without loss."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
+        return 0.0
+    if y <= 0.0:
         return 1.0
-    front = math.exp(s * math.log(x) - x - math.lgamma(s))
-    if x < s + 1.0:
-        term = total = 1.0 / s
-        k = s
-        while abs(term) > abs(total) * 1e-16:
-            k += 1.0
-            term *= x / k
-            total += term
-        return 1.0 - front * total
-    b = x + 1.0 - s
-    c, d = 1e300, 1.0 / b
-    value, n = d, 0
-    while n < 100_000:
-        n += 1
-        b += 2.0
-        d = 1.0 / (b - n * (n - s) * d)
-        c = b - n * (n - s) / c
-        value *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * value
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - regularized_beta(b, a, y, x)
+    return math.exp(_log_beta_front(a, b, x, y)) * _beta_fraction(a, b, x, y)
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
-    if d2 > LARGE_DOF:
-        return upper_gamma(d1 / 2.0, d1 * f / 2.0)
-    return regularized_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return regularized_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def t_two_sided(t: float, dof: float) -> float:

@@ -23,7 +23,9 @@ from sextant.columns import (
 )
 from sextant.functions.numbers import to_integer, to_number
 from sextant.operators.frequencies import columns_within, value_counts_topk, value_frequencies
+from sextant.operators.joins import small_side
 from sextant.operators.quantiles import ONE_TASK_ROWS, column_quantiles
+from sextant.scratch import materialize
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -73,21 +75,38 @@ def missing_heaviest(df: DataFrame, above_pct: float = 10.0) -> DataFrame:
 # -- duplicates -------------------------------------------------------------
 
 
+def _repeated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose fingerprint comes more than once, and (n_rows, n_single) of the table.
+
+    Only fingerprints of 128 bits are shuffled for all rows. Whole rows are
+    compared among equal fingerprints alone, so a chance match changes nothing.
+    """
+    cells = F.struct(*[quoted(c) for c in df.columns])
+    marks = [F.xxhash64(F.lit(seed), cells, *[quoted(c).isNull() for c in df.columns]).alias(f"_h{seed}") for seed in (1, 2)]
+    prints = materialize(df.select(*marks).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")), "prints")
+    sizes = prints.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count_if(F.col("_n") == 1).alias("n_single"))
+    twice = prints.where("_n > 1").select("_h1", "_h2")
+    rows = df.select("*", *marks).join(small_side(twice), ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    return rows, sizes
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Each row value that occurs more than once, with its number of copies.
 
     Copies collapse before the shuffle, so one value making up much of the table is no hot spot.
     """
-    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies")).where("copies > 1")
+    return _copies(_repeated(df)[0]).where("copies > 1")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """(n_rows, n_duplicates): rows beyond the first copy; nulls compare equal."""
-    grouped = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies"))
-    return grouped.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
-    )
+    rows, sizes = _repeated(df)
+    distinct = _copies(rows).agg(F.count(F.lit(1))).scalar()
+    return sizes.select("n_rows", (F.col("n_rows") - F.col("n_single") - distinct).alias("n_duplicates"))
 
 
 # -- description ------------------------------------------------------------

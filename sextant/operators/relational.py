@@ -200,14 +200,25 @@ def value_intersect(left: DataFrame, left_column: str, right: DataFrame, right_c
 def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows with the bands ``low <= value < high`` they fall in.
 
-    Both sides are bucketed by ``width``, a typical band width, and joined on
-    the bucket, so the range test only meets neighbours. Few bands are
-    broadcast, so that a hot bucket moves no rows.
+    Both sides are bucketed and joined on the bucket, so the range test only
+    meets neighbours. A band up to ``width`` wide is at level 0; each level
+    doubles the bucket, and a band takes the level that is as wide as it is, so
+    it lies in two buckets at most however wide it is. A row goes to one bucket
+    of every level in use; their number is bounded by the range of a double.
+    Few bands are broadcast, so that a hot bucket moves no rows. Bands without a
+    bound, or of no width, hold no row.
     """
-    def bucket(c: Column) -> Column:
-        return F.floor(c / F.lit(width))
-
-    reach = bands.withColumn("_bucket", F.explode(F.sequence(bucket(quoted(low)), bucket(quoted(high)))))
-    placed = df.withColumn("_bucket", bucket(quoted(value)))
+    span = quoted(high).cast("double") - quoted(low).cast("double")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(width)))).cast("int")
+    levelled = bands.where(quoted(low) < quoted(high)).withColumn("_level", level)
+
+    def bucket(c: Column, level: Column) -> Column:
+        return F.floor(c.cast("double") / (F.lit(width) * F.pow(F.lit(2.0), level)))
+
+    ends = F.array(bucket(quoted(low), F.col("_level")), bucket(quoted(high), F.col("_level")))
+    reach = levelled.withColumn("_bucket", F.explode(F.array_distinct(ends)))
+    levels = sorted(r["_level"] for r in levelled.select("_level").distinct().collect())
+    placed = df.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    placed = placed.withColumn("_bucket", bucket(quoted(value), F.col("_level")))
     inside = (quoted(value) >= quoted(low)) & (quoted(value) < quoted(high))
-    return placed.join(small_side(reach), "_bucket").where(inside).drop("_bucket")
+    return placed.join(small_side(reach), ["_level", "_bucket"]).where(inside).drop("_level", "_bucket")

@@ -11,8 +11,9 @@ from sextant.columns import as_double, quoted, rows_from_wide, time_columns
 from sextant.functions.dates import add_days, elapsed_days, parse_mixed_date, strip_null_tokens
 from sextant.operators.joins import join_on_keys, small_side
 from sextant.operators.ordering import ONE_TASK_ROWS, number_rows, with_previous
+from sextant.operators.profile import low_variance
 from sextant.operators.quantiles import grouped_medians
-from sextant.operators.relational import time_series_mean
+from sextant.operators.roles import default_metric
 from sextant.scratch import materialize
 
 BAND_Z = 1.96
@@ -242,6 +243,18 @@ def trend_forecast(fit: DataFrame, keys: Sequence[str], horizon: int | Column, d
     )
 
 
+def settled_metric(df: DataFrame, metric: str, exclude: Sequence[str] = ()) -> str:
+    """The metric, or if it hardly varies the default one of the other columns, where there is one that varies."""
+    if not _flat(df, metric):
+        return metric
+    other = default_metric(df, [metric, *exclude])
+    return metric if other is None or _flat(df, other) else other
+
+
+def _flat(df: DataFrame, metric: str) -> bool:
+    return low_variance(df, [metric]).first()["low_variance"]
+
+
 def forecast_by_time(
     df: DataFrame, time: str, metric: str, keys: Sequence[str] = (), horizon: int | None = None, period: str = "",
     order_by: Sequence[str] = (),

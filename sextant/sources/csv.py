@@ -22,9 +22,16 @@ class EmptySourceError(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Header CSV with clean unique names; text columns take the type 80 % of their rows have."""
+    """Header CSV with clean unique names; text columns take the type 80 % of their rows have.
+
+    A quote left open at a line's end means a record of several lines. Only files with
+    such a line are read as a whole each, since then they cannot be split.
+    """
     reader = spark.read.option("escape", '"')
+    open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
     try:
+        if not spark.read.text(path).where(open_quote).isEmpty():
+            reader = reader.option("multiLine", True)
         # The first record alone: Spark's own header handling renames repeated names.
         first = reader.option("header", False).csv(path).first()
         raw = reader.option("header", True).csv(path)

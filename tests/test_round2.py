@@ -1,12 +1,16 @@
 """Cases of wide tables, null keys, unreadable dates, padded labels and infinite values."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sextant.functions import tails
 from sextant.operators import audit, clean, ml, profile, relational, trend
+from sextant.operators.joins import small_side
 from sextant.operators.quantiles import column_quantiles, grouped_medians
+from sextant.sources.csv import read_csv
 
 
 def test_events_without_a_key_are_numbered(spark):
@@ -108,3 +112,52 @@ def test_an_event_word_counts_events(spark):
         trend.horizon_steps("match", F.lit(1.0), F.lit(False)).alias("match"),
     ).first()
     assert (row["season"], row["year"], row["match"]) == (10, 52, 5)
+
+
+def test_tails_have_one_formula_at_every_size():
+    for dof in (1e7 - 1, 1e7 + 1, 1e9, 1e12, 1e15):
+        for t in (0.5, 1.96, 6.0):
+            limit = math.erfc(t / math.sqrt(2))
+            assert abs(tails.t_two_sided(t, dof) / limit - 1) < 500 / dof + 1e-12
+    assert abs(tails.f_upper(9.0, 2.0, 4.0) - 0.033057851239669) < 1e-12  # (1 + f d1 / d2) ** -2
+
+
+def test_bands_of_any_width(spark):
+    rows = [(i, float(v)) for i, v in enumerate([-3, 0, 6.999, 7, 100, 2.9e9, 3e9, 5e12])] + [(99, None)]
+    cells = [("wide", 0.0, 3e9), ("narrow", 0.0, 7.0), ("none", 5.0, 5.0), ("open", None, 4.0), ("below", -1e13, 0.0), ("tiny", 6.99, 7.0)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    bands = spark.createDataFrame(cells, "band string, low double, high double")
+    found = relational.band_join(df, bands, "v", "low", "high", 1.0)
+    expected = {(i, b) for i, v in rows for b, lo, hi in cells if None not in (v, lo) and lo <= v < hi}
+    assert sorted((r["id"], r["band"]) for r in found.collect()) == sorted(expected)
+    assert relational.band_join(df, bands.limit(0), "v", "low", "high", 1.0).count() == 0
+
+
+def test_csv_with_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"line one\nline two"\n2,"say ""hi"""\n3,plain\n')
+    rows = [(r["id"], r["note"]) for r in read_csv(spark, str(path)).orderBy("id").collect()]
+    assert rows == [(1, "line one\nline two"), (2, 'say "hi"'), (3, "plain")]
+
+
+def test_a_wide_side_is_not_broadcast(spark):
+    narrow = spark.range(10).selectExpr("id", "cast(null as string) as s", "array(id) as a", "cast('x' as binary) as b")
+    wide = spark.range(40).selectExpr("id", "repeat('x', 1000000) as s")
+    plans = [small_side(side)._jdf.queryExecution().logical().toString() for side in (narrow, wide)]
+    assert ["ResolvedHint" in p or "UnresolvedHint" in p for p in plans] == [True, False]
+
+
+def test_duplicates_by_fingerprint_are_exact(spark):
+    rows = [(1, "a", None), (1, "a", None), (1, None, "a"), (None, None, None), (None, None, None), (None, None, None), (2, "b", "c")]
+    df = spark.createDataFrame(rows, "a int, b string, a_b string")
+    assert tuple(profile.duplicate_count(df).first()) == (7, 3)
+    found = sorted((r["a"] or 0, r["copies"]) for r in profile.duplicate_groups(df).collect())
+    assert found == [(0, 3), (1, 2)]
+    assert tuple(profile.duplicate_count(df.limit(0)).first()) == (0, 0)
+
+
+def test_a_flat_metric_is_changed(spark):
+    df = spark.range(20).selectExpr("timestamp_seconds(id * 86400) as t", "2026 as season_no", "double(id * id) as sales")
+    assert trend.settled_metric(df, "season_no", ["t"]) == "sales"
+    assert trend.settled_metric(df, "sales", ["t"]) == "sales"
+    assert trend.settled_metric(df.drop("sales"), "season_no", ["t"]) == "season_no"
