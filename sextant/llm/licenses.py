@@ -1,17 +1,21 @@
-"""Licence scans: a trained paragraph classifier, an unknown class, and template comparison.
+"""Licence scans: template triples find notices, a trained classifier with an unknown class judges them.
+
+Paragraphs are the lines of a text between lines without a word, so a notice
+may be wrapped over lines.  A template is confirmed where the share CONFIRM of
+its word triples lies within some PIECE words of a paragraph, wherever these
+begin, or where it has that share of the triples of a whole line, sentence or
+paragraph that holds at least half of it (a shortened notice).
 
-Paragraphs are the lines of a text, cut into stretches of at most PIECE words.
 Features are hashed word n-grams of one to three words.  A sparse multinomial
 logistic regression tells the licence families and ``unknown`` apart.  It is
 trained on variants of the notices in TEMPLATES and, for ``unknown``, on the
 paragraphs of a bounded sample of documents that share no word triple with any
-template; a temperature is fitted on the part not trained on.
+template; a temperature is fitted on the part not trained on.  It scores the
+words of each confirmed stretch: a notice counts if a licence is likelier than
+``unknown`` (LIKELY), a shortened one if its family is likelier than all else.
 
-The n-grams with a weight are few, so a paragraph without any of them has the
-score of the bias alone and is unknown; all others are scored in full.  A
-family is reported if it is likelier than all else together (LIKELY) and a
-template of it confirms: the share CONFIRM of the template's word triples, or
-of the paragraph's, is in the other.
+Texts in which no template can be confirmed are passed over by their triples
+alone.  A row names the line on which the notice begins.
 
 Documents never move.  Defined cases: null and empty text have no licence;
 repeated rows give their own rows; with no documents to learn ``unknown`` from
@@ -21,7 +25,9 @@ and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,6 +45,7 @@ PIECE = 64
 SAMPLE, SAMPLE_LINES = 1500, 8
 VARIANTS = 60
 LIKELY, CONFIRM = 0.5, 0.6
+_SENTENCE_END = re.compile(r"(?<=[.!?;])\s+")
 
 # Usual wordings of licence notices, by family.
 TEMPLATES = {
@@ -82,7 +89,7 @@ TEMPLATES = {
 
 
 class Paragraphs:
-    """Words, n-grams and bounds of the paragraphs of many texts."""
+    """Words and bounds of the single lines of many texts, cut into stretches of at most PIECE words; they teach."""
 
     def __init__(self, texts: list[str | None]):
         lines, owner, number = [], [], []
@@ -101,27 +108,28 @@ class Paragraphs:
         self.text = np.array(owner, np.int64)[line]
         self.line = np.array(number, np.int64)[line]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed n-grams and the paragraph each lies in."""
-        counts = np.diff(self.bounds)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        value, out, where = np.zeros(len(self.word), np.uint64), [], []
-        for n in range(ORDERS):
-            value = value[: len(self.word) - n] * np.uint64(0x9E3779B97F4A7C15) + self.word[n:]
-            whole = owner[: len(value)] == owner[n:]
-            out.append((flatwords.mix(value[whole]) >> np.uint64(48)).astype(np.int64))
-            where.append(owner[: len(value)][whole])
-        return np.concatenate(out), np.concatenate(where)
-
     def triples(self) -> list[np.ndarray]:
         """Distinct word triples of each paragraph."""
         s, cut = flatwords.shingles(self.word, self.bounds, ORDERS)
         return [np.unique(s[a:b]) for a, b in zip(cut, cut[1:])]
 
 
+def _grams(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams and the paragraph each lies in."""
+    counts = np.diff(bounds)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    value, out, where = np.zeros(len(word), np.uint64), [], []
+    for n in range(ORDERS):
+        value = value[: len(word) - n] * np.uint64(0x9E3779B97F4A7C15) + word[n:]
+        whole = owner[: len(value)] == owner[n:]
+        out.append((flatwords.mix(value[whole]) >> np.uint64(48)).astype(np.int64))
+        where.append(owner[: len(value)][whole])
+    return np.concatenate(out), np.concatenate(where)
+
+
 def _rows(p: Paragraphs) -> list[tuple[np.ndarray, np.ndarray]]:
     """Features of each paragraph: presence, scaled to length one."""
-    gram, where = p.grams()
+    gram, where = _grams(p.word, p.bounds)
     order = np.argsort(where, kind="stable")
     cut = np.searchsorted(where[order], np.arange(len(p.text) + 1))
     out = []
@@ -180,48 +188,163 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
          T.StructField("probability", T.DoubleType()), T.StructField("template", T.IntegerType()), T.StructField("likeness", T.DoubleType())]
     )
 
+    def chances(word: np.ndarray) -> np.ndarray:
+        """Chance of every name for one stretch of words; presence counts, scaled by all distinct n-grams."""
+        gram = np.unique(_grams(word, np.array([0, len(word)]))[0])
+        mine = place[gram]
+        return linear.softmax(((small[mine[mine >= 0]].sum(axis=0) / np.sqrt(max(1, len(gram))) + bias) / temperature)[None])[0]
+
+    search = _Search(known)
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, texts = batch["key"], batch["text"].tolist()
             for a, b in flatwords.portions(texts):
-                p = Paragraphs(texts[a:b])
-                found = [] if not len(p.word) else _found(p)
+                found = [(t, *_row(n)) for t in search.worth(texts[a:b]) for n in _settled(search.notices(texts[a + t], chances))]
                 if found:
                     t, rest = [f[0] for f in found], [f[1:] for f in found]
                     out = pd.DataFrame(rest, columns=[f.name for f in schema][1:])
                     out.insert(0, key, keys.iloc[a:b].iloc[t].to_numpy())
                     yield out
 
-    def _found(p: Paragraphs) -> list[tuple]:
-        gram, where = p.grams()
-        hit = place[gram] >= 0
-        # Presence counts, not frequency; the scale is that of all distinct n-grams of the paragraph.
-        pair = np.unique(where * SIZE + gram)
-        total = np.bincount(pair // SIZE, minlength=len(p.text))
-        mine = pair[place[pair % SIZE] >= 0] if hit.any() else pair[:0]
-        if not len(mine):
-            return []
-        paragraph, first = np.unique(mine // SIZE, return_index=True)
-        score = np.add.reduceat(small[place[mine % SIZE]], first, axis=0) / np.sqrt(total[paragraph])[:, None] + bias
-        chance = linear.softmax(score / temperature)
-        best = chance.argmax(axis=1)
-        likely = np.flatnonzero((best > 0) & (chance.max(axis=1) >= LIKELY))
-        out = []
-        for k in likely:
-            q = paragraph[k]
-            words_here = p.word[p.bounds[q] : p.bounds[q + 1]]
-            mine_triples = np.unique(flatwords.shingles(words_here, np.array([0, len(words_here)]), ORDERS)[0])
-            like = [_confirms(mine_triples, t) for t in known[best[k] - 1]]
-            top = int(np.argmax(like))
-            if like[top] >= CONFIRM:
-                out.append((int(p.text[q]), int(p.line[q]), names[best[k]], round(float(chance[k].max()), 6), top, round(like[top], 6)))
-        return out
+    def _row(n: Notice) -> tuple:
+        return n.line, names[n.family], round(float(n.chance[n.family]), 6), n.template, round(n.like, 6)
 
     return pairs.mapInPandas(judge, schema)
 
 
-def _confirms(paragraph: np.ndarray, template: np.ndarray) -> float:
-    both = len(np.intersect1d(paragraph, template, assume_unique=True))
-    # A shortened notice lies in the template only if it has at least half of it.
-    inside = both / max(1, len(paragraph)) if 2 * both >= len(template) else 0.0
-    return max(both / max(1, len(template)), inside)
+class Notice(NamedTuple):
+    """A stretch of words, first to end, that confirms a template; ``at`` are the places of the matched triples."""
+
+    family: int
+    template: int
+    like: float
+    first: int
+    end: int
+    at: frozenset
+    line: int
+    chance: np.ndarray
+
+
+class _Search:
+    """Places where templates are confirmed."""
+
+    def __init__(self, known: list[list[np.ndarray]]):
+        self.named = [(f, k) for f, templates in enumerate(known, 1) for k in range(len(templates))]
+        self.triples = [t for templates in known for t in templates]
+        self.need = np.array([-(-len(t) // 2) for t in self.triples])
+        self.every = np.unique(np.concatenate(self.triples))
+        self.holds = np.stack([np.isin(self.every, t) for t in self.triples])
+
+    def _hits(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of template triples among the given ones, and which they are."""
+        which = np.minimum(np.searchsorted(self.every, s), len(self.every) - 1)
+        at = np.flatnonzero(self.every[which] == s)
+        return at, which[at]
+
+    def worth(self, texts: list[str | None]) -> list[int]:
+        """Texts with at least half of some template's triples, line breaks aside; no other can confirm one."""
+        s, cut = flatwords.shingles(*flatwords.words(texts), ORDERS)
+        at, which = self._hits(s)
+        pair = np.unique((np.searchsorted(cut, at, side="right") - 1) * len(self.every) + which)
+        text, first = np.unique(pair // len(self.every), return_index=True)
+        has = np.split(pair % len(self.every), first[1:])
+        return [int(t) for t, h in zip(text, has) if (self.holds[:, h].sum(axis=1) >= self.need).any()]
+
+    def notices(self, text: str, chances: Callable[[np.ndarray], np.ndarray]) -> list[Notice]:
+        """Confirmed templates that the classifier takes for a licence, the same words perhaps by several."""
+        pieces, line, sentence = [], [], []
+        nth = 0
+        for i, row in enumerate(text.split("\n")):
+            for k, piece in enumerate(_SENTENCE_END.split(row)):
+                nth += k > 0
+                pieces.append(piece)
+                line.append(i)
+                sentence.append(nth)
+            nth += bool(row) and row.rstrip()[-1:] in set(".!?;")
+        word, bounds = flatwords.words(pieces)
+        count = np.diff(bounds)
+        line = np.repeat(line, count)
+        # A line without words ends a paragraph.
+        paragraph = np.cumsum(np.diff(line, prepend=line[:1]) > 1)
+        sentence = paragraph * (nth + 1) + np.repeat(sentence, count)
+        cut = np.append(np.searchsorted(paragraph, np.arange(paragraph[-1] + 1)), len(word))
+        s, start = flatwords.shingles(word, cut, ORDERS)
+        at, which = self._hits(s)
+        owner = np.searchsorted(start, at, side="right") - 1
+        at = at - start[owner] + cut[owner]  # now places of words
+        found = []
+
+        def add(g: int, like: float, first: int, end: int, its: np.ndarray, whole: tuple[int, int] | None) -> None:
+            family, template = self.named[g]
+            words = word[first:end] if whole is None else word[whole[0] : whole[1]]
+            chance = chances(words)
+            if (chance[0] <= 1 - LIKELY) if whole is None else (chance.argmax() == family and chance[family] >= LIKELY):
+                found.append(Notice(family, template, like, first, end, frozenset(its.tolist()), int(line[first]), chance))
+
+        for g, triples in enumerate(self.triples):
+            mine = np.flatnonzero(self.holds[g][which])
+            if len(np.unique(which[mine])) < self.need[g]:
+                continue
+            p, kind, size = at[mine], which[mine], len(triples)
+            for like, i, j in _windows(p, kind, paragraph[p], size):
+                add(g, like, int(p[i]), int(p[j]) + ORDERS, p[i : j + 1], None)
+            for unit in (line, sentence, paragraph):
+                inside = unit[p] == unit[np.minimum(p + ORDERS - 1, len(word) - 1)]
+                ip, ik = p[inside], kind[inside]
+                if not len(ip):
+                    continue
+                for part in np.split(np.arange(len(ip)), np.flatnonzero(np.diff(unit[ip])) + 1):
+                    both = len(np.unique(ik[part]))
+                    if both >= self.need[g]:
+                        a, b = np.searchsorted(unit, unit[ip[part[0]]]), np.searchsorted(unit, unit[ip[part[0]]], side="right")
+                        of_unit = np.unique(flatwords.shingles(word[a:b], np.array([0, b - a]), ORDERS)[0])
+                        like = both / len(of_unit)
+                        if like >= CONFIRM:
+                            add(g, max(like, both / size), int(ip[part[0]]), int(ip[part[-1]]) + ORDERS, ip[part], (int(a), int(b)))
+        return found
+
+
+def _windows(p: np.ndarray, kind: np.ndarray, paragraph: np.ndarray, size: int) -> list[tuple[float, int, int]]:
+    """Stretches of at most PIECE words with the share CONFIRM of a template: (share, first hit, last hit).
+
+    Of stretches that overlap the one of the greatest share stays, then the shortest.
+    """
+    out, best, left, count = [], None, 0, {}
+    for right in range(len(p)):
+        count[kind[right]] = count.get(kind[right], 0) + 1
+        while paragraph[left] != paragraph[right] or p[right] + ORDERS - p[left] > PIECE or count[kind[left]] > 1:
+            # What comes again later is not needed at the start.
+            count[kind[left]] -= 1
+            if not count[kind[left]]:
+                del count[kind[left]]
+            left += 1
+        like = len(count) / size
+        if like < CONFIRM:
+            continue
+        if best is not None and p[left] >= p[best[2]] + ORDERS:
+            out.append(best)
+            best = None
+        if best is None or (like, p[best[2]] - p[best[1]]) > (best[0], p[right] - p[left]):
+            best = (like, left, right)
+    return out if best is None else [*out, best]
+
+
+def _settled(found: list[Notice]) -> list[Notice]:
+    """One notice of each stretch: of a family's stretches that overlap the one with most triples, of families the likeliest."""
+    best: list[Notice] = []
+    end, family = 0, 0
+    for n in sorted(found, key=lambda n: (n.family, n.first)):
+        if n.family != family or n.first >= end:
+            best.append(n)
+            family, end = n.family, n.end
+            continue
+        end = max(end, n.end)
+        best[-1] = min(best[-1], n, key=lambda n: (-len(n.at), -n.like, n.end - n.first, n.template))
+    taken: set = set()
+    kept = []
+    for n in sorted(best, key=lambda n: (-n.chance[n.family], -n.like, n.first, n.family)):
+        if taken.isdisjoint(range(n.first, n.end)):
+            taken.update(range(n.first, n.end))
+            kept.append(n)
+    return sorted(kept, key=lambda n: (n.first, n.family))

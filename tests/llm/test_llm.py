@@ -254,6 +254,23 @@ def test_license_lines(spark, sf, documents):
     assert lines <= set(found) and {found[k] for k in lines} <= {"GPL", "MIT", "Apache", "CC-BY-NC"}
 
 
+def _licenses(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [sorted((r.line, r.family) for r in rows if r.doc_id == k) for k in range(len(texts))]
+
+
+def test_license_notices_across_line_breaks_and_in_long_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    fill = lambda n: " ".join(f"w{i}" for i in range(n))
+    texts = [bsd, "Some words.\n\n * " + bsd.replace("\n", "\n * ")]
+    texts += [f"{fill(n)} Released under the MIT License. {fill(90)}" for n in range(58, 66)]
+    texts.append(f"{fill(9)}\nLicensed under the Apache License (v2)\n{fill(9)}")
+    texts.append("This work is licensed under a Creative\n\nCommons Attribution 4.0 International License.")
+    assert _licenses(spark, texts) == [[(0, "BSD")], [(2, "BSD")]] + [[(0, "MIT")]] * 8 + [[(1, "Apache")], []]
+    wordings = [(f, t) for f, all_of in licenses.TEMPLATES.items() for t in all_of]
+    assert _licenses(spark, [t for _, t in wordings]) == [[(0, f)] for f, _ in wordings]
+
+
 def test_temperature_lowers_log_loss():
     rng = np.random.default_rng(2)
     scores = rng.normal(size=(500, 3))
