@@ -271,6 +271,16 @@ def test_license_notices_across_line_breaks_and_in_long_lines(spark):
     assert _licenses(spark, [t for _, t in wordings]) == [[(0, f)] for f, _ in wordings]
 
 
+def test_license_families_side_by_side(spark):
+    texts = [
+        "Licensed under the MIT license. Licensed under the Apache License, Version 2.0.",
+        "Dual-licensed under the MIT license and the Apache License, Version 2.0.",
+        "Licensed under the MIT or Apache License, Version 2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. All rights reserved.",
+    ]
+    assert _licenses(spark, texts) == [[(0, "Apache"), (0, "MIT")]] * 3 + [[(0, "CC-BY-NC"), (0, "Reserved")]]
+
+
 def test_temperature_lowers_log_loss():
     rng = np.random.default_rng(2)
     scores = rng.normal(size=(500, 3))
