@@ -5,7 +5,9 @@ them every run of key characters is a candidate: a window slides over it, and
 the Shannon entropy of the characters in the window is kept up to date from the
 counts of the one character that leaves and the one that enters.  Windows above
 the limit of the candidate's character class make a span, unless an allow-list
-pattern explains the candidate.
+pattern explains the candidate.  What base spans cover is taken out of a
+candidate first; each stretch left of it is searched by itself, so a random key
+beside an access key in one run is found.
 
 All work on a text stays in its row, so no key is shuffled.  Defined cases:
 null and empty text have no span; repeated rows are scanned alike and all
@@ -109,13 +111,14 @@ def _shares() -> Column:
 
 
 def _entropy_spans(row: DataFrame, kept: list[str]) -> DataFrame:
-    """Adds ``m``: per candidate the stretch from its first to its last window above the limit."""
+    """Adds ``m``: per stretch of a candidate outside ``base`` the part from its first to its last window above the limit."""
     row = _matches(row, kept, CANDIDATE, 0, WINDOW)
     named = F.filter("m", lambda x: ~_any(x.value, ALLOWED))
+    row = row.select(*kept, F.flatten(F.transform(named, _outside_base)).alias("m"))
     row = row.select(
         *kept,
         F.transform(
-            named,
+            "m",
             lambda x: F.struct(
                 x.start.alias("start"),
                 F.when(x.value.rlike("^[0-9a-f]+$") | x.value.rlike("^[0-9A-F]+$"), F.lit(LIMITS["hex"]))
@@ -165,6 +168,22 @@ def _entropy_spans(row: DataFrame, kept: list[str]) -> DataFrame:
     return row.select(*kept, F.coalesce(found, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("m"))
 
 
+def _outside_base(x: Column) -> Column:
+    """The stretches of a candidate that no base span covers and a window fits in."""
+
+    def left(acc: Column, end: Column) -> Column:
+        value = F.substr(x.value, (acc["at"] - x.start + 1).cast("int"), (end - acc["at"]).cast("int"))
+        stretch = F.struct(acc["at"].alias("start"), end.alias("end"), value.alias("value"))
+        return F.when(end - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(stretch))).otherwise(acc["out"])
+
+    return F.aggregate(
+        F.filter("base", lambda b: (b.start < x.end) & (x.start < b.end)),
+        F.struct(x.start.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b.end).alias("at"), left(acc, b.start).alias("out")),
+        lambda acc: left(acc, x.end),
+    )
+
+
 def _any(value: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -192,8 +211,7 @@ def spans(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     row = row.select(*kept, F.sort_array(F.concat(*BASE)).alias("base"))
     kept.append("base")
     row = _entropy_spans(row, kept)
-    new = F.filter(_ranked("m", len(BASE)), lambda x: ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end)))
-    return row.select(*kept, F.sort_array(F.concat("base", new)).alias("spans"))
+    return row.select(*kept, F.sort_array(F.concat("base", _ranked("m", len(BASE)))).alias("spans"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
