@@ -5,7 +5,7 @@ them every run of key characters is a candidate: a window slides over it, and
 the Shannon entropy of the characters in the window is kept up to date from the
 counts of the one character that leaves and the one that enters.  Windows above
 the limit of the candidate's character class make a span, unless an allow-list
-pattern explains the candidate.  What base spans cover is taken out of a
+pattern explains the whole candidate or a part of it lies in the window.  What base spans cover is taken out of a
 candidate first; each stretch left of it is searched by itself, so a random key
 beside an access key in one run is found.
 
@@ -36,15 +36,19 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits per character above which a window of the class is too random; a window of 20 has 4.32 at most.
 LIMITS = {"hex": 2.9, "alnum": 3.55, "mixed": 3.75}
-#: Candidates that these explain are no secrets.
-ALLOWED = [
+#: Candidates that these explain whole are no secrets.
+ALLOWED_WHOLE = [
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|changeme|placeholder|your[_-]",
-    r"(?i)0123456789|abcdefghij|(.)\1{5}",
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z+/_=-]+$",
     r"^(/?[a-z]+[/_=-])+[a-z]*[0-9]{0,4}$",
 ]
+#: What these match explains the windows that touch it, and no others.
+ALLOWED_PARTS = [
+    r"(?i)example|sample|dummy|changeme|placeholder|your[_-]",
+    r"(?i)0123456789|abcdefghij|(.)\1{5}",
+]
+ALLOWED = [*ALLOWED_WHOLE, *ALLOWED_PARTS]
 ENTROPY = "entropy"
 PLACEHOLDER = "[REDACTED]"
 #: Matches are numbered in blocks of so many, so that running totals cost little on very long texts.
@@ -113,19 +117,20 @@ def _shares() -> Column:
 def _entropy_spans(row: DataFrame, kept: list[str]) -> DataFrame:
     """Adds ``m``: per stretch of a candidate outside ``base`` the part from its first to its last window above the limit."""
     row = _matches(row, kept, CANDIDATE, 0, WINDOW)
-    named = F.filter("m", lambda x: ~_any(x.value, ALLOWED))
+    named = F.filter("m", lambda x: ~_any(x.value, ALLOWED_WHOLE))
     row = row.select(*kept, F.flatten(F.transform(named, _outside_base)).alias("m"))
+    row = row.select(*kept, F.transform("m", lambda x: F.struct(x.start.alias("start"), _blanked(x.value).alias("value"))).alias("m"))
     row = row.select(
         *kept,
         F.transform(
             "m",
             lambda x: F.struct(
                 x.start.alias("start"),
-                F.when(x.value.rlike("^[0-9a-f]+$") | x.value.rlike("^[0-9A-F]+$"), F.lit(LIMITS["hex"]))
-                .when(x.value.rlike("^[A-Za-z0-9]+$"), F.lit(LIMITS["alnum"]))
+                F.when(x.value.rlike("^[0-9a-f ]+$") | x.value.rlike("^[0-9A-F ]+$"), F.lit(LIMITS["hex"]))
+                .when(x.value.rlike("^[A-Za-z0-9 ]+$"), F.lit(LIMITS["alnum"]))
                 .otherwise(F.lit(LIMITS["mixed"]))
                 .alias("limit"),
-                F.transform(F.split(x.value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("codes"),
+                F.transform(F.split(x.value, ""), lambda c: F.instr(F.lit(ALPHABET + " "), c) - 1).alias("codes"),
             ),
         ).alias("c"),
         _shares().alias("f"),
@@ -134,7 +139,11 @@ def _entropy_spans(row: DataFrame, kept: list[str]) -> DataFrame:
 
     def slide(c: Column) -> Column:
         zero = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last")
+            F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
+            F.lit(0.0).alias("sum"),
+            F.lit(-1).alias("blank"),
+            none.alias("first"),
+            none.alias("last"),
         )
 
         def step(acc: Column, i: Column) -> Column:
@@ -148,10 +157,13 @@ def _entropy_spans(row: DataFrame, kept: list[str]) -> DataFrame:
                 acc.counts,
                 lambda n, j: n + F.when(j == enters, F.lit(1)).otherwise(F.lit(0)) - F.when(j == leaves, F.lit(1)).otherwise(F.lit(0)),
             )
-            high = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= c.limit - 1e-9)
+            blank = F.when(enters == len(ALPHABET), i).otherwise(acc["blank"])
+            # A window holds no blank if the last one is WINDOW or more places back; the first window begins after place -1.
+            high = (i - blank >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= c.limit - 1e-9)
             return F.struct(
                 counts.alias("counts"),
                 total.alias("sum"),
+                blank.alias("blank"),
                 F.when(acc["first"].isNull() & high, i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"),
                 F.when(high, i + 1).otherwise(acc["last"]).alias("last"),
             )
@@ -184,6 +196,15 @@ def _outside_base(x: Column) -> Column:
     )
 
 
+def _blanked(value: Column) -> Column:
+    """The value with blanks, as many as characters, where a part is harmless."""
+    for p in ALLOWED_PARTS:
+        parts = F.regexp_extract_all(value, F.lit(p), F.lit(0))
+        joined = F.zip_with(F.split(value, p, -1), parts, lambda s, m: F.concat(s, F.coalesce(F.regexp_replace(m, ".", " "), F.lit(""))))
+        value = F.when(value.rlike(p), F.array_join(joined, "")).otherwise(value)
+    return value
+
+
 def _any(value: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
