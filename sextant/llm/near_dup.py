@@ -24,14 +24,15 @@ Only fingerprints and ids are shuffled; texts move once per document in a
 candidate pair and side.  Classes come from repeated contraction of the links
 in tables of the shared scratch folder.
 
-Defined cases: null and empty text, or text without letters and digits, is
-nobody's duplicate and its own class; text of fewer than five words has one
-shingle; repeated rows and equal texts are in one class; an empty table gives
+Defined cases: null and empty text is nobody's duplicate and its own class;
+text without letters and digits is in one class with its exact copies only;
+text of fewer than five words has one shingle; repeated rows and equal texts are in one class; an empty table gives
 an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -158,7 +159,11 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Stored: ``id``, the fingerprints ``h1, h2`` of the word sequence (null without words) and ``bands``."""
+    """Stored: ``id``, the fingerprints ``h1, h2`` and ``bands``.
+
+    Fingerprints are of the word sequence, or without words of the text as it is,
+    and null for null and empty text; bands are null without words.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,12 +172,18 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 part = texts[a:b]
                 shingle, weight, owner, h1, h2 = elements(part)
                 some = np.bincount(owner, minlength=len(part)) > 0
+                filled = some.copy()
+                for k in np.flatnonzero(~some):
+                    if part[k]:
+                        raw = hashlib.blake2b(part[k].encode("utf-8", "replace"), digest_size=16).digest()
+                        h1[k], h2[k] = np.frombuffer(raw, np.uint64)
+                        filled[k] = True
                 keys = band_keys(signatures(shingle, weight, owner, len(part))).view(np.int64)
                 yield pd.DataFrame(
                     {
                         "id": ids[a:b],
-                        "h1": pd.Series(h1.view(np.int64)).astype("Int64").where(some),
-                        "h2": pd.Series(h2.view(np.int64)).astype("Int64").where(some),
+                        "h1": pd.Series(h1.view(np.int64)).astype("Int64").where(filled),
+                        "h2": pd.Series(h2.view(np.int64)).astype("Int64").where(filled),
                         "bands": [k if s else None for k, s in zip(keys, some)],
                     }
                 )
@@ -259,7 +270,7 @@ def contracted(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``id`` (the key) and ``class_id`` (least key of its class)."""
     signed = _signed(docs, key, text)
-    # Equal word sequences are one member, known by its least key; rows without words take no part.
+    # Equal word sequences are one member, known by its least key; null and empty texts take no part.
     least = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("member"), F.first("bands").alias("bands"))
     members = materialize(least, "members")
     rows = members.select("member", F.posexplode("bands").alias("band", "bucket")).where("member is not null")

@@ -220,6 +220,13 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == sorted(set(root))
 
 
+def test_equal_texts_without_words_are_one_class(spark):
+    texts = ["*** --- ***", "", None, "👩👩 👩", "*** --- ***", "*** -- ***", "👩👩 👩", "", None, " ", "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = [k if not x else texts.index(x) for k, x in enumerate(texts)]
+    assert {r.id: r.class_id for r in near_dup.classes(df).collect()} == dict(enumerate(root))
+
+
 def test_signatures_estimate_weighted_likeness():
     rng = np.random.default_rng(3)
     shingle = flatwords.mix(np.arange(400, dtype=np.uint64))
