@@ -148,3 +148,45 @@ def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import page_text
 
     return page_text.extract(_table(spark, folder, "pages"))
+
+
+@query(
+    "op11_turn_trie",
+    r"""
+    with own as (
+      select conv_id, list(md5(md5(coalesce(role, '')) || coalesce(text, '')) order by turn nulls first) as ids,
+        list(length(coalesce(text, '')) order by turn nulls first) as lens
+      from conversations where conv_id is not null group by conv_id),
+    bits as (
+      select *, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))) as crc from own),
+    heads as (select *, (xor(crc, 4294967295::bigint) % 6)::bigint as h from bits),
+    rebuilt as (
+      select a.conv_id, list_concat(coalesce(b.ids[1:a.h], []), a.ids[a.h + 1:]) as ids,
+        list_concat(coalesce(b.lens[1:a.h], []), a.lens[a.h + 1:]) as lens
+      from heads a left join own b on b.conv_id = a.conv_id - a.conv_id % 100),
+    counted as (select *, len(ids) as n, generate_series(0, len(ids)) as depths from rebuilt),
+    prefixes as (
+      select conv_id, d, md5(array_to_string(ids[1:d], ',')) as key, md5(array_to_string(ids[1:d - 1], ',')) as above,
+        case when d = 0 then 0 else lens[d] end as size, n = d as ends
+      from (select *, unnest(depths) as d from counted)),
+    nodes as (
+      select d, key, min(above) as above, min(conv_id) as conv_id, count(*) as n_convs, max(size) as size,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+      from prefixes group by d, key),
+    kids as (select d - 1 as d, above as key, count(*) as n_children from nodes where d > 0 group by all),
+    sums as (
+      select p.d, p.key, sum((n.n_convs - 1) * n.size)::bigint as saved_tokens, count(*) filter (where k.n_children is null) as n_leaves
+      from nodes n join prefixes p on p.conv_id = n.conv_id and p.d <= n.d left join kids k on k.d = n.d and k.key = n.key
+      group by p.d, p.key)
+    select n.conv_id, n.d::bigint as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children,
+      s.n_leaves, s.saved_tokens, n.ends_sha256
+    from nodes n join sums s on s.d = n.d and s.key = n.key left join kids k on k.d = n.d and k.key = n.key
+      left join nodes q on q.d = n.d - 1 and q.key = n.above and n.d > 0
+    """,
+)
+def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import turn_trie
+
+    return turn_trie.trie(_table(spark, folder, "conversations"))
