@@ -37,7 +37,11 @@ def _powers(n: int) -> np.ndarray:
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word fingerprints of all texts in order, and the bounds of each text in them (one more than texts)."""
-    plain = [_MARKS.sub(" ", (t or "").lower()).replace("_", " ").encode("utf-8", "replace") for t in texts]
+    return runs([_MARKS.sub(" ", (t or "").lower()).replace("_", " ").encode("utf-8", "replace") for t in texts])
+
+
+def runs(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``words``, of texts in lower case whose runs of word bytes are the words."""
     sizes = np.array([len(p) + 1 for p in plain], np.int64)
     data = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8) if plain else np.zeros(0, np.uint8)
     is_word = _WORD[data]

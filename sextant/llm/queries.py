@@ -190,3 +190,35 @@ def op11_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
     from sextant.llm import turn_trie
 
     return turn_trie.trie(_table(spark, folder, "conversations"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    with docs as (
+      select row_number() over () as k, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+      from documents),
+    sized as (select k, doc_id, ts, len(ts) as n from docs where len(ts) > 0),
+    corpus as (select count(*) as docs, sum(n)::bigint as all_terms from sized),
+    asked as (
+      select distinct item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+      from benchmark),
+    held as (
+      select k, doc_id, n, t, count(*) as tf from (select k, doc_id, n, unnest(ts) as t from sized)
+      where t in (select t from asked) group by all),
+    weights as (
+      select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+      from held, corpus group by t),
+    scores as (
+      select item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // all_terms))))::bigint as score
+      from asked join held using (t) join weights using (t), corpus group by all)
+    select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+    from scores where score > 0 qualify rank <= 10
+    """,
+)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from sextant.llm import lexical_search
+
+    return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
