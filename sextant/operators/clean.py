@@ -197,7 +197,7 @@ def quality_decisions(df: DataFrame) -> DataFrame:
     groups = similar_label_groups(df)
     order = {c: i for i, c in enumerate(df.columns)}
     merges = groups.groupBy("column", "group_no").agg(
-        F.sort_array(F.collect_list("label")).alias("labels"),  # at most 80 labels per column
+        F.sort_array(F.collect_list("label")).alias("labels"),  # the labels of one group
         F.max_by("label", F.struct("n", F.col("label"))).alias("primary"),
         F.sum("n").alias("n_rows"),
     )

@@ -505,9 +505,33 @@ def quality_decisions(t: Tables) -> DataFrame:
     return C.quality_decisions(t.messy).withColumn("labels", F.concat_ws(" | ", "labels"))
 
 
-@query("near_dup_labels")
+# The five priorities are unlike each other, so a group is what has one normal form.
+@query(
+    "near_dup_labels",
+    f"""
+    {MESSY_SQL}, l as (select trim(priority) as label, count(*) as n from messy where trim(priority) <> '' group by 1),
+    p as (select *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as plain from l),
+    g as (select plain, min(struct_pack(a := -n, b := label)) as first from p group by plain having count(*) > 1),
+    k as (select plain, row_number() over (order by first) as group_no from g)
+    select 'priority' as "column", group_no, label, n from p join k using (plain)
+    """,
+)
 def near_dup_labels(t: Tables) -> DataFrame:
-    return L.similar_label_groups(t.messy, MESSY_TEXTS)
+    return L.similar_label_groups(t.messy)
+
+
+# Names of one customer segment differ in digits alone: far more labels than a category has, in few groups.
+@query("near_dup_labels_many")
+def near_dup_labels_many(t: Tables) -> DataFrame:
+    return L.similar_label_groups(t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")), ["c_name", "n_name"])
+
+
+@query(
+    "label_columns",
+    "select * from (values ('priority', 'categories'), ('amount_text', 'numbers'), ('order_date_text', 'timestamp')) as v(\"column\", status)",
+)
+def label_columns(t: Tables) -> DataFrame:
+    return L.category_columns(t.messy)
 
 
 @query(
