@@ -1,11 +1,9 @@
-"""Chunking, exchange texts, chunk tables, findings, nearest-neighbour retrieval and citations."""
+"""Chunking, exchange texts, chunk tables, findings and citations of retrieved vectors."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,84 +100,6 @@ def findings_rollup(findings: DataFrame) -> DataFrame:
 
 # -- retrieval --------------------------------------------------------------
 
-QUERY_BLOCK = 2048
-SHARD_ROWS = 100_000
-CHUNK_ROWS = 4096
-
-
-def _distances(asked: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarray:
-    squares, lengths = (asked * asked).sum(axis=1)[:, None], (matrix * matrix).sum(axis=1)[None, :]
-    dots = asked @ matrix.T
-    if metric == "cosine":
-        norm = np.sqrt(squares * lengths)
-        return np.round(1.0 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 9)
-    return np.round(np.maximum(squares + lengths - 2.0 * dots, 0.0), 9)
-
-
-def _best(asked: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, ...]:
-    """(query place, distance, id) of the k nearest per query, ties to the smaller id, chunk after chunk."""
-    row, near, who = np.empty(0, np.int64), np.empty(0), np.empty(0, ids.dtype)
-    for start in range(0, len(matrix), CHUNK_ROWS):
-        d = _distances(asked, matrix[start : start + CHUNK_ROWS], metric)
-        if d.shape[1] > k:
-            r, c = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-        else:
-            r, c = np.nonzero(np.ones_like(d, bool))
-        row, near, who = np.append(row, r), np.append(near, d[r, c]), np.append(who, ids[start + c])
-        order = np.lexsort((who, near, row))
-        row, near, who = row[order], near[order], who[order]
-        first = np.searchsorted(row, np.arange(len(asked)))
-        keep = np.arange(len(row)) - first[row] < k
-        row, near, who = row[keep], near[keep], who[keep]
-    return row, near, who
-
-
-def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", block: int = QUERY_BLOCK,
-    shard_rows: int = SHARD_ROWS,
-) -> DataFrame:
-    """Exact k nearest vectors per query row from (vec_id, embedding) and (query_id, embedding).
-
-    ``metric`` is ``l2`` (squared Euclidean) or ``cosine`` (1 - similarity).
-    Both sides are dealt into shards of bounded size, every pair of shards is
-    searched in a task of its own, and only k rows per query and pair leave it.
-    Rows without a vector are left out; ids may have any type; a repeated query
-    id is searched once per row.
-    """
-    known = F.col("embedding").isNotNull()
-    asked = queries.where(known).select("query_id", "embedding", F.monotonically_increasing_id().alias("_q"))
-    asked = materialize(asked, "queries")  # fixes the row numbers
-    usable = vectors.where(known).select("vec_id", "embedding")
-    q_shards = max(1, math.ceil(asked.count() / block))
-    v_shards = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(usable.count() / shard_rows))
-    left = asked.select(
-        "*", F.pmod(F.xxhash64("_q"), F.lit(q_shards)).cast("int").alias("_qs"), F.explode(F.sequence(F.lit(0), F.lit(v_shards - 1))).alias("_vs")
-    )
-    right = usable.select(
-        "*",
-        F.explode(F.sequence(F.lit(0), F.lit(q_shards - 1))).alias("_qs"),
-        F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(v_shards)).cast("int").alias("_vs"),
-    )
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))]
-
-    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"_q": [], "query_id": [], "vec_id": [], "distance": []})
-        codes, ids = pd.factorize(v["vec_id"], sort=True, use_na_sentinel=False)
-        block_of, matrix = (np.stack(x["embedding"].to_numpy()).astype("float64") for x in (q, v))
-        row, near, who = _best(block_of, matrix, codes, k, metric)
-        hits = q[["_q", "query_id"]].iloc[row].reset_index(drop=True)
-        return hits.assign(vec_id=np.asarray(ids)[who], distance=near)
-
-    found = (
-        left.groupBy("_qs", "_vs")
-        .cogroup(right.groupBy("_qs", "_vs"))
-        .applyInPandas(search, f"_q long, query_id {kinds[0]}, vec_id {kinds[1]}, distance double")
-    )
-    order = W.partitionBy("_q").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).drop("_q")
-
-
 def citations(hits: DataFrame, texts: DataFrame, length: int = 200) -> DataFrame:
     """Rank, source and excerpt per hit, from hits and (vec_id, source_type, text)."""
     text = F.col("text")

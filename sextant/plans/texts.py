@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import audit as A
+from sextant.operators import retrieval as N
 from sextant.operators import texts as X
 from sextant.plans.catalog import Tables, query
 from sextant.plans.inputs import SQL_LOG_SQL, sql_log
@@ -125,7 +126,7 @@ _COSINE = "1 - list_cosine_similarity(q, e)"
     _nearest_sql(_SQUARED) + "select query_id, vec_id, round(distance, 4) as distance, rank from r where rank <= 5",
 )
 def knn_topk(t: Tables) -> DataFrame:
-    return X.nearest(t.embeddings, _centroids(t), 5).withColumn("distance", F.round("distance", 4))
+    return N.nearest(t.embeddings, _centroids(t), 5).withColumn("distance", F.round("distance", 4))
 
 
 @query(
@@ -133,7 +134,14 @@ def knn_topk(t: Tables) -> DataFrame:
     _nearest_sql(_COSINE) + "select query_id, vec_id, round(distance, 4) as distance, rank from r where rank <= 5",
 )
 def knn_cosine(t: Tables) -> DataFrame:
-    return X.nearest(t.embeddings, _centroids(t), 5, "cosine").withColumn("distance", F.round("distance", 4))
+    return N.nearest(t.embeddings, _centroids(t), 5, "cosine").withColumn("distance", F.round("distance", 4))
+
+
+@query("knn_visits")
+def knn_visits(t: Tables) -> DataFrame:
+    """How many cells of the index the search of each vector of the first label looked into."""
+    asked = t.embeddings.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return N.PivotIndex(t.embeddings).search(asked, 5).visits
 
 
 @query(
@@ -143,7 +151,7 @@ def knn_cosine(t: Tables) -> DataFrame:
     "as excerpt from r join documents on doc_id = vec_id where rank <= 5",
 )
 def citations(t: Tables) -> DataFrame:
-    hits = X.nearest(t.embeddings, _centroids(t), 5)
+    hits = N.nearest(t.embeddings, _centroids(t), 5)
     texts = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("source_type"), "text")
     return X.citations(hits, texts)
 

@@ -11,6 +11,7 @@ from sextant.functions.similarity import alike, label_ratio
 from sextant.operators import audit as A
 from sextant.operators import insights as I
 from sextant.operators import ml, roles
+from sextant.operators import retrieval as N
 from sextant.operators import texts as X
 
 
@@ -65,7 +66,7 @@ def test_nearest_equals_brute_force(spark, metric, block):
     queries = matrix[[7, 50, 60, 3, 9]] + 0.01
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id bigint, embedding array<double>")
     asked = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "query_id bigint, embedding array<double>")
-    found = X.nearest(vectors.repartition(5), asked, 4, metric, block).collect()
+    found = N.nearest(vectors.repartition(5), asked, 4, metric, block).collect()
     for q, query in enumerate(queries):
         if metric == "l2":
             d = ((matrix - query) ** 2).sum(axis=1)
@@ -82,14 +83,14 @@ def test_nearest_with_text_ids_nulls_and_a_repeated_id(spark):
     asked = spark.createDataFrame(
         [("a", [3.2, 0.0]), ("a", [40.1, 0.0]), ("b", None)], "query_id string, embedding array<double>"
     )
-    found = X.nearest(vectors, asked, 1, block=1, shard_rows=7)
+    found = N.nearest(vectors, asked, 1, block=1, shard_rows=7)
     assert sorted((r["query_id"], r["vec_id"]) for r in found.collect()) == [("a", "v3"), ("a", "v40")]
 
 
 def test_nearest_with_many_queries(spark):
     vectors = spark.range(40).selectExpr("id as vec_id", "array(double(id), 1D) as embedding")
     asked = spark.range(10_000).selectExpr("if(id < 5000, -1, id) as query_id", "array(double(id % 40), 1D) as embedding")
-    found = X.nearest(vectors, asked, 2)
+    found = N.nearest(vectors, asked, 2)
     assert found.where("rank = 1 and distance = 0").count() == 10_000 and found.where("rank = 2").count() == 10_000
 
 
