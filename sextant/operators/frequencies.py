@@ -11,8 +11,11 @@ from pyspark.sql import Window as W
 
 from sextant.columns import as_double, quoted
 
-# Ratio by which a sketch estimate must exceed a limit before a column is ruled out.
+# Ratio by which a sketch estimate must exceed a limit before a proof is tried, and values the proof aims to count per limit.
 SKETCH_SLACK = 4
+PROOF_VALUES = 8
+#: Buckets of hashes in which rows are counted to find frequent values.
+BUCKETS = 4096
 
 
 def value_text(df: DataFrame, name: str):
@@ -51,33 +54,104 @@ def cardinalities(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {r["column"]: r["n_distinct"] for r in cardinality(df, columns).collect()}
 
 
+def _prints(df: DataFrame, name: str) -> list:
+    """128-bit fingerprint of a non-null cell, in two numbers."""
+    return [F.xxhash64(F.lit(seed), value_text(df, name)) for seed in (1, 2)]
+
+
+def _estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"c{i}"] for i, c in enumerate(columns)}
+
+
+def proven_above(df: DataFrame, limits: dict[str, float], estimates: dict[str, int]) -> set[str]:
+    """Columns with more distinct values than their limit, by counting some of them.
+
+    Only values whose hash falls in a small share of all hashes are counted,
+    some times the limit if the estimate is right. What is counted is there, so
+    a wrong estimate can make the proof fail but never make it wrong.
+    """
+    tried = {c: max(1, int(estimates[c] / (max(limits[c], 1) * PROOF_VALUES))) for c in limits}
+    if not tried:
+        return set()
+    cells = []
+    for c, every in tried.items():
+        mark, _ = _prints(df, c)
+        chosen = value_text(df, c).isNotNull() & (F.pmod(mark, F.lit(every)) == 0)
+        cells.append(F.struct(F.lit(c).alias("column"), F.when(chosen, mark).alias("mark")))
+    seen = df.select(F.inline(F.array(*cells))).where("mark is not null").distinct()
+    counts = {r["column"]: r["n"] for r in seen.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    return {c for c in tried if counts.get(c, 0) > limits[c]}
+
+
 def columns_within(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """Columns a sketch does not rule out as having at most ``limit`` distinct values.
+    """Columns that are not proven to have more than ``limit`` distinct values.
 
-    Keeps free-text columns out of the shuffle; callers still test the exact count.
+    A sketch tells for which columns a proof is worth trying, so that free text
+    stays out of the shuffle; callers count what is returned exactly.
     """
     if not columns:
         return []
-    row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[f"c{i}"] <= limit * SKETCH_SLACK]
+    estimates = _estimates(df, columns)
+    above = proven_above(df, {c: limit for c in columns if estimates[c] > limit * SKETCH_SLACK}, estimates)
+    return [c for c in columns if c not in above]
 
 
 def distinct_reaches(df: DataFrame, thresholds: dict[str, float]) -> dict[str, bool]:
     """Whether each column has at least so many distinct values.
 
-    One sketch of 0.8 % standard error decides columns more than 6 % away from
-    their threshold; only the rest are counted exactly, which shuffles values.
+    Columns far above are proven so from some of their values; all others are
+    counted by fingerprints of 128 bits.
     """
     if not thresholds:
         return {}
-    columns = list(thresholds)
-    row = df.agg(
-        *[F.approx_count_distinct(quoted(c), 0.01).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
-    near = {c: row[f"c{i}"] for i, c in enumerate(columns)}
-    unsure = [c for c in columns if abs(near[c] - thresholds[c]) <= 0.06 * thresholds[c] + 1]
-    exact = cardinalities(df, unsure)
-    return {c: exact.get(c, near[c]) >= thresholds[c] for c in columns}
+    estimates = _estimates(df, list(thresholds))
+    far = {c: t for c, t in thresholds.items() if estimates[c] > t * SKETCH_SLACK}
+    above = proven_above(df, far, estimates)
+    exact = distinct_counts(df, [c for c in thresholds if c not in above])
+    return {c: c in above or exact[c] >= t for c, t in thresholds.items()}
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct non-null values per column, told apart by fingerprints, so that no text is shuffled."""
+    if not columns:
+        return {}
+    cells = []
+    for c in columns:
+        marks = F.struct(*[m.alias(f"m{i}") for i, m in enumerate(_prints(df, c))])
+        cells.append(F.struct(F.lit(c).alias("column"), F.when(value_text(df, c).isNotNull(), marks).alias("marks")))
+    seen = df.select(F.inline(F.array(*cells))).where("marks is not null").select("column", "marks.m0", "marks.m1").distinct()
+    counts = {r["column"]: r["n"] for r in seen.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    return {c: counts.get(c, 0) for c in columns}
+
+
+def frequent_values(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:
+    """(column, value, n, total) of values, null included, that make up at least ``share`` of all rows.
+
+    Rows are first counted in a fixed number of buckets of hashes: a value's
+    bucket holds at least its own rows, so none is missed, and at most 1 / share
+    buckets a column are full enough. Only values of these are then counted, of
+    which there are few besides the frequent ones; free text is not shuffled.
+    """
+    names = dict(enumerate(columns))
+    bucket = {i: F.pmod(F.xxhash64(value_text(df, c)), F.lit(BUCKETS)).cast("int") for i, c in names.items()}
+    cells = [F.struct(F.lit(i).alias("i"), b.alias("bucket")) for i, b in bucket.items()]
+    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "bucket").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(W.partitionBy("i"))
+    full = counted.withColumn("total", total).where(F.col("n") >= F.col("total") * share).collect()
+    schema = "column string, value string, n bigint, total bigint"
+    if not full:
+        return df.sparkSession.createDataFrame([], schema)
+    cells = []
+    for i in sorted({r["i"] for r in full}):
+        value = F.struct(F.lit(names[i]).alias("column"), value_text(df, names[i]).alias("value"))
+        cells.append(F.when(bucket[i].isin([r["bucket"] for r in full if r["i"] == i]), value))
+    found = df.select(F.explode(F.array(*cells)).alias("v")).where("v is not null").groupBy("v.column", "v.value")
+    totals = df.sparkSession.createDataFrame(
+        sorted({(names[r["i"]], r["total"]) for r in full}), "column string, total bigint"
+    )
+    each = found.agg(F.count("*").alias("n")).join(F.broadcast(totals), "column")
+    return each.where(F.col("n") >= F.col("total") * share).select("column", "value", "n", "total")
 
 
 def value_counts_topk(df: DataFrame, columns: Sequence[str], k: int = 15) -> DataFrame:

@@ -22,7 +22,7 @@ from sextant.columns import (
     without_nan,
 )
 from sextant.functions.numbers import to_integer, to_number
-from sextant.operators.frequencies import columns_within, value_counts_topk, value_frequencies
+from sextant.operators.frequencies import columns_within, distinct_counts, frequent_values, value_counts_topk, value_frequencies
 from sextant.operators.joins import small_side
 from sextant.operators.quantiles import ONE_TASK_ROWS, column_quantiles
 from sextant.scratch import materialize
@@ -197,7 +197,7 @@ def low_variance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"s{i}"),
             F.avg(F.abs(v)).alias(f"a{i}"),
         ]
-        # Only columns a sketch leaves in doubt pay for a set, which then holds a handful of values.
+        # Only columns not proven to have more values pay for a set, which then holds a handful of values.
         if c in few:
             aggs.append(F.size(F.collect_set(v)).alias(f"d{i}"))
         distinct = F.col(f"d{i}") if c in few else F.lit(4)
@@ -335,17 +335,18 @@ def imbalance(df: DataFrame, columns: Sequence[str] | None = None, share: float
     columns = list(columns or text_columns(df))
     if not columns:
         return empty_like(df, "column string, top_value string, top_share double, n_values bigint")
-    freq = value_frequencies(df, columns, keep_null=True)
-    per_column = freq.groupBy("column").agg(
-        F.max_by(F.struct(F.coalesce("value", F.lit("__null__")).alias("v")), F.col("n")).alias("top"),
-        F.max("n").alias("most"),
-        F.sum("n").alias("total"),
-        F.count("*").alias("n_values"),
-    )
-    return per_column.where((F.col("n_values") >= 2) & (F.col("most") >= F.col("total") * share)).select(
+    order = W.partitionBy("column").orderBy(F.desc("n"), "value")  # at most 1 / share values a column
+    top = frequent_values(df, columns, share).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    top = materialize(top.drop("_r"), "frequent")
+    dominated = [r["column"] for r in top.select("column").collect()]
+    values = distinct_counts(df, dominated)
+    nulls = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(dominated)]).first() if dominated else []
+    known = [(c, values[c] + (1 if nulls[f"n{i}"] else 0)) for i, c in enumerate(dominated)]
+    sizes = df.sparkSession.createDataFrame(known, "column string, n_values bigint").where("n_values >= 2")
+    return top.join(F.broadcast(sizes), "column").select(
         "column",
-        F.col("top.v").alias("top_value"),
-        (F.col("most") / F.col("total")).alias("top_share"),
+        F.coalesce("value", F.lit("__null__")).alias("top_value"),
+        (F.col("n") / F.col("total")).alias("top_share"),
         "n_values",
     )
 

@@ -179,18 +179,6 @@ def factorize(
     )
 
 
-def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows whose number of copies differs between two tables of one schema: a single shuffle."""
-    tagged = left.select("*", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select("*", F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    )
-    return (
-        tagged.groupBy(*[quoted(c) for c in left.columns])
-        .agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
-        .where("n_left != n_right")
-    )
-
-
 def value_intersect(left: DataFrame, left_column: str, right: DataFrame, right_column: str) -> DataFrame:
     a = left.select(quoted(left_column).cast("string").alias("value")).where("value is not null")
     b = right.select(quoted(right_column).cast("string").alias("value")).where("value is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import relational as R
+from sextant.operators.difference import table_diff as table_differences
 from sextant.operators.joins import small_side
 from sextant.operators.joinkeys import discover_join_keys
 from sextant.plans.catalog import Tables, query, rounded, sql_rounded
@@ -389,7 +390,7 @@ def value_intersect(t: Tables) -> DataFrame:
 )
 def table_diff(t: Tables) -> DataFrame:
     right = t.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("priority"))
-    return R.table_diff(t.messy.select("order_id", "priority"), right)
+    return table_differences(t.messy.select("order_id", "priority"), right)
 
 
 @query(
