@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -191,20 +192,24 @@ def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str,
     Both sides are bucketed and joined on the bucket, so the range test only
     meets neighbours. A band up to ``width`` wide is at level 0; each level
     doubles the bucket, and a band takes the level that is as wide as it is, so
-    it lies in two buckets at most however wide it is. A row goes to one bucket
+    it lies in two buckets at most however wide it is (four at the last level). A row goes to one bucket
     of every level in use; their number is bounded by the range of a double.
     Few bands are broadcast, so that a hot bucket moves no rows. Bands without a
-    bound, or of no width, hold no row.
+    bound, or of no width, hold no row; an infinite bound is one like any other.
     """
+    largest = 1.7e308
+    top = math.floor(math.log2(largest) - math.log2(width))
     span = quoted(high).cast("double") - quoted(low).cast("double")
-    level = F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(width)))).cast("int")
+    level = F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.ceil(F.log2(F.least(span, F.lit(largest)) / F.lit(width))))).cast("int")
     levelled = bands.where(quoted(low) < quoted(high)).withColumn("_level", level)
 
     def bucket(c: Column, level: Column) -> Column:
-        return F.floor(c.cast("double") / (F.lit(width) * F.pow(F.lit(2.0), level)))
+        x = F.when(~F.isnan(c.cast("double")), F.greatest(F.lit(-largest), F.least(F.lit(largest), c.cast("double"))))
+        place = x / (F.lit(width) * F.pow(F.lit(2.0), level))
+        return F.floor(F.greatest(F.lit(-9e18), F.least(F.lit(9e18), place)))
 
-    ends = F.array(bucket(quoted(low), F.col("_level")), bucket(quoted(high), F.col("_level")))
-    reach = levelled.withColumn("_bucket", F.explode(F.array_distinct(ends)))
+    ends = F.sequence(bucket(quoted(low), F.col("_level")), bucket(quoted(high), F.col("_level")))
+    reach = levelled.withColumn("_bucket", F.explode(ends))
     levels = sorted(r["_level"] for r in levelled.select("_level").distinct().collect())
     placed = df.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
     placed = placed.withColumn("_bucket", bucket(quoted(value), F.col("_level")))

@@ -116,6 +116,28 @@ class Series:
         )
         return cls(points, keys, False, rows.select(*keys).distinct())
 
+    @classmethod
+    def by_clock(
+        cls, df: DataFrame, time: str, metric: str, keys: Sequence[str], order_by: Sequence[str],
+        one_task_rows: int = ONE_TASK_ROWS,
+    ) -> Series:
+        """Each series by the clock it has: dates where three or more and at least half of its cells read as dates, else events."""
+        keys = list(keys)
+        text = quoted(time).cast("string")
+        stamp, filled = parse_mixed_date(text), strip_null_tokens(text)
+        if time in time_columns(df):
+            stamp = filled = quoted(time)
+        order = [quoted(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
+        rows = df.select(*[quoted(k) for k in keys], *order, stamp.alias("_ts"), filled.alias("_cell"), as_double(df, metric).alias("_y"))
+        rows, keys = cls._keyed(rows, keys)
+        parsed, cells = F.count("_ts"), F.count("_cell")
+        clocks = rows.groupBy(*keys).agg(((parsed >= 3) & (parsed * 2 >= cells)).alias("_dated"))
+        clocks = materialize(clocks, "clocks")
+        told = join_on_keys(rows, small_side(clocks), keys).withColumnRenamed("_y", "y").drop("_cell")
+        dated = cls.by_time(told.where("_dated"), "_ts", "y", keys, one_task_rows)
+        counted = cls.by_order(told.where("not _dated"), [f"_o{i}" for i in range(len(order_by))], "y", keys, one_task_rows)
+        return cls(dated.points.unionByName(counted.points), keys, True, clocks.select(*keys))
+
     @staticmethod
     def _keyed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
         """Give an ungrouped series a constant key; rows without a key are a series of their own."""
@@ -215,7 +237,7 @@ def trend_fit(series: Series) -> DataFrame:
 def trend_forecast(fit: DataFrame, keys: Sequence[str], horizon: int | Column, dated: bool = True) -> DataFrame:
     """Point and band for the next steps of each series whose status is ``ok``.
 
-    A regular dated series gets dates, any other "Event +h". Bands widen with
+    A regular series with dates gets dates, any other "Event +h". Bands widen with
     the step and are clipped at 0 if the history never is negative.
     """
     steps = horizon if isinstance(horizon, Column) else F.lit(horizon)
@@ -232,7 +254,7 @@ def trend_forecast(fit: DataFrame, keys: Sequence[str], horizon: int | Column, d
     label = event
     if dated:
         day = F.date_format(add_days(F.col("last_ts"), F.col("step_days") * F.col("h")), "yyyy-MM-dd")
-        label = F.when(F.col("irregular"), event).otherwise(day)
+        label = F.when(F.col("irregular") | F.col("last_ts").isNull(), event).otherwise(day)
     return ahead.select(
         *keys,
         F.col("h").cast("bigint").alias("h"),
@@ -252,31 +274,43 @@ def settled_metric(df: DataFrame, metric: str, exclude: Sequence[str] = ()) -> s
 
 
 def _flat(df: DataFrame, metric: str) -> bool:
+    y = as_double(df, metric)
+    n, spread, size = df.agg(F.count(y), F.stddev_samp(y), F.avg(F.abs(y))).first()
+    if n > 1 and spread and spread >= 0.01 * size:  # varies too much for any reason to call it flat
+        return False
     return low_variance(df, [metric]).first()["low_variance"]
 
 
 def forecast_by_time(
     df: DataFrame, time: str, metric: str, keys: Sequence[str] = (), horizon: int | None = None, period: str = "",
-    order_by: Sequence[str] = (),
+    order_by: Sequence[str] = (), switch: bool = True,
 ) -> DataFrame:
     """Fit and extrapolate in one call; the horizon follows from the period word if not given.
 
-    A text column that does not read as dates falls back to the order of the
-    events by ``order_by``, which must be named for that.
+    A series whose times do not read as dates goes by the order of its events in
+    ``order_by``, whatever the other series do; where that is not named and no
+    series has dates, an error says so. A metric that hardly varies is changed
+    for the default one, see ``settled_metric``, unless ``switch`` is false.
     """
-    if time not in time_columns(df) and not date_parse_quality(df, [time]).first()["parse_ok"]:
-        if not order_by:
-            raise ValueError(f"{time} does not read as dates; name columns to order the events by")
-        return forecast_by_order(df, order_by, metric, keys, horizon or EVENT_STEPS.get(period, 5))
-    series = Series.by_time(df, time, metric, keys)
+    if switch:
+        metric = settled_metric(df, metric, [time, *keys, *order_by])
+    if order_by:
+        series = Series.by_clock(df, time, metric, keys, order_by)
+    elif time not in time_columns(df) and not date_parse_quality(df, [time]).first()["parse_ok"]:
+        raise ValueError(f"{time} does not read as dates; name columns to order the events by")
+    else:
+        series = Series.by_time(df, time, metric, keys)
     fit = trend_fit(series)
-    steps = F.lit(horizon) if horizon is not None else horizon_steps(period, F.col("step_days"), F.col("irregular"))
-    return series.plain(trend_forecast(fit, series.keys, steps))
+    dated = horizon_steps(period, F.col("step_days"), F.col("irregular"))
+    steps = F.when(F.col("last_ts").isNull(), F.lit(EVENT_STEPS.get(period, 5))).otherwise(dated)
+    return series.plain(trend_forecast(fit, series.keys, F.lit(horizon) if horizon is not None else steps))
 
 
 def forecast_by_order(
-    df: DataFrame, order_by: Sequence[str], metric: str, keys: Sequence[str] = (), horizon: int = 5
+    df: DataFrame, order_by: Sequence[str], metric: str, keys: Sequence[str] = (), horizon: int = 5, switch: bool = True
 ) -> DataFrame:
+    if switch:
+        metric = settled_metric(df, metric, [*keys, *order_by])
     series = Series.by_order(df, order_by, metric, keys)
     return series.plain(trend_forecast(trend_fit(series), series.keys, horizon, dated=False))
 

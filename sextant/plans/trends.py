@@ -140,6 +140,24 @@ def trend_fallback(t: Tables) -> DataFrame:
     )
 
 
+_DATED_TYPES = "('click', 'view')"
+
+
+@query(
+    "trend_fallback_mixed",
+    f"select * from (with {DAILY_SQL}, {_BY_TYPE}, {_AHEAD.format(steps=5)} select event_type, {_ROWS} from ahead) "
+    f"where event_type in {_DATED_TYPES} union all "
+    f"select * from ({ORACLES['trend_forecast_events']}) where event_type not in {_DATED_TYPES}",
+)
+def trend_fallback_mixed(t: Tables) -> DataFrame:
+    """Some series have dates and some have none: each goes by its own clock, in one job."""
+    day = F.when(F.expr(f"event_type in {_DATED_TYPES}"), F.date_format("ts", "dd/MM/yyyy")).otherwise(F.lit("some day"))
+    rows = t.events.select("event_type", "ts", "event_id", "value", day.alias("when"))
+    return _rounded_forecast(
+        T.forecast_by_time(rows, "when", "value", ["event_type"], horizon=5, order_by=["ts", "event_id"])
+    )
+
+
 @query(
     "trend_status",
     f"with {_BY_USER} select user_id, n, status from fit",

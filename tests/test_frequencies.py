@@ -47,8 +47,9 @@ def test_frequent_values_equal_counting(mixed, share):
     assert {tuple(r) for r in Q.frequent_values(mixed, columns, share).collect()} == expected
 
 
-def test_imbalance_shuffles_no_free_text(spark, mixed):
-    stored = mixed.select("free", "most", "gaps", "even")
+def test_imbalance_shuffles_no_free_text(spark, mixed, tmp_path):
+    mixed.select("free", "most", "gaps", "even").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
     before = shuffled(spark)
     found = {r["column"]: (r["top_value"], round(r["top_share"], 4), r["n_values"]) for r in profile.imbalance(stored).collect()}
     assert found == {"most": ("most", 0.9, 2001), "gaps": ("__null__", 0.95, 2)}
@@ -56,7 +57,7 @@ def test_imbalance_shuffles_no_free_text(spark, mixed):
     before = shuffled(spark)
     stored.groupBy("free").count().count()
     counted = shuffled(spark) - before
-    assert used < counted / 2  # sums of at most 4096 buckets a column and task, and fingerprints of dominated columns
+    assert used < counted / 5  # sums of at most 4096 buckets a column and task, and fingerprints of dominated columns
 
 
 def test_empty(spark):

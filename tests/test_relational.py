@@ -201,3 +201,14 @@ def test_registry(spark, tmp_path):
     assert kinds == {"rows", "column", "join"}
     registry.save("my_table", str(tmp_path / "out"))
     assert registry.load([str(tmp_path / "out")]) == ["user_data"]
+
+
+def test_bands_without_end(spark):
+    inf = float("inf")
+    values = [-1e308, -5.0, 0.0, 3.0, 1e300, inf, -inf, float("nan"), None]
+    limits = [(-inf, 0.0), (0.0, inf), (-inf, inf), (2.0, 4.0), (1e299, 1e301), (inf, inf), (None, 1.0), (5.0, 2.0)]
+    left = spark.createDataFrame([(v,) for v in values], "v double")
+    right = spark.createDataFrame(limits, "low double, high double")
+    expected = sorted((v, a, b) for v in values[:-2] for a, b in limits if a is not None and a <= v < b)
+    for width in (1e-3, 1.0, 1e6):
+        assert sorted(map(tuple, R.band_join(left, right, "v", "low", "high", width).collect())) == expected

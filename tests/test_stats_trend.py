@@ -179,3 +179,29 @@ def test_text_dates_and_duplicate_dates_are_averaged(spark):
 def test_horizon(spark, period, gap, irregular, steps):
     row = spark.range(1).select(T.horizon_steps(period, F.lit(gap), F.lit(irregular)).alias("n")).first()
     assert row["n"] == steps
+
+
+def test_each_series_has_its_own_clock(spark):
+    rows = [("a", f"2024-01-{d:02d}", d, float(d)) for d in range(1, 9)]
+    rows += [("b", "some day", d, 2.0 * d) for d in range(1, 9)]
+    rows += [("c", "2024-01-01" if d < 3 else "later", d, 5.0 - d) for d in range(1, 9)]
+    rows += [(None, None, d, float(d)) for d in range(1, 5)]
+    df = spark.createDataFrame(rows, "k string, when string, no int, y double")
+    found = {}
+    for r in T.forecast_by_time(df, "when", "y", ["k"], horizon=2, order_by=["no"]).collect():
+        found.setdefault(r["k"], []).append((r["h"], r["period"], round(r["forecast"], 6)))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        "a": [(1, "2024-01-09", 9.0), (2, "2024-01-10", 10.0)],
+        "b": [(1, "Event +1", 18.0), (2, "Event +2", 20.0)],
+        "c": [(1, "Event +1", -4.0), (2, "Event +2", -5.0)],
+        None: [(1, "Event +1", 5.0), (2, "Event +2", 6.0)],
+    }
+    by_word = T.forecast_by_time(df, "when", "y", ["k"], period="season", order_by=["no"]).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in by_word} == {"a": 10, "b": 10, "c": 10, None: 10}
+
+
+def test_flat_metric_is_changed(spark):
+    df = spark.createDataFrame([(f"2024-01-{d:02d}", 7.0, float(d)) for d in range(1, 9)], "day string, flag double, sales double")
+    assert T.forecast_by_time(df, "day", "flag", horizon=1).first()["forecast"] == pytest.approx(9.0)
+    assert T.forecast_by_time(df, "day", "flag", horizon=1, switch=False).count() == 0
+    assert T.forecast_by_order(df, ["day"], "flag", horizon=1).first()["forecast"] == pytest.approx(9.0)
