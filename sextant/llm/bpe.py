@@ -147,12 +147,12 @@ class WordBpe:
         return self.words.findall(piece)
 
     def chunks(self, text: str) -> list[str]:
-        """Pieces between white space, which no word crosses; special tokens stay whole."""
+        """Pieces between white space, which no word crosses; special tokens of the raw text stay whole, after a blank."""
         parts = [text] if self.cut is None or "<" not in text else self.cut.split(text)
         out: list[str] = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(part)
+                out.append(" " + part)
                 continue
             part = self.normalized(part)
             out += [x for x in _SPACE.split(part) if x] if _ODD.search(part) else part.split()
@@ -169,9 +169,10 @@ class WordBpe:
         if len(self.seen) > SEEN:
             self.seen.clear()
         fresh = {p for one in pieces for p in one if p not in self.seen}
-        for s in fresh & self.special.keys():
-            self.seen[s] = (self.special[s],)
-        fresh -= self.special.keys()
+        marked = {p for p in fresh if p[0] == " "}
+        for p in marked:
+            self.seen[p] = (self.special[p[1:]],)
+        fresh -= marked
         split = {p: self._split(p) for p in fresh}
         words = list({w for ws in split.values() for w in ws})
         ids = dict(zip(words, self.encode_words([w.encode() for w in words]))) if words else {}
