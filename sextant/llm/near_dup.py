@@ -24,9 +24,13 @@ Only fingerprints and ids are shuffled; texts move once per document in a
 candidate pair and side.  Classes come from repeated contraction of the links
 in tables of the shared scratch folder.
 
+Texts, not keys, are what is classed: a key repeated with another text is two
+members. A class is named by its least key.
+
 Defined cases: null and empty text is nobody's duplicate and its own class;
 text without letters and digits is in one class with its exact copies only;
-text of fewer than five words has one shingle; repeated rows and equal texts are in one class; an empty table gives
+text of fewer than five words has one shingle; repeated rows and equal texts
+are in one class; a class without any key has a null name; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -159,9 +163,9 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Stored: ``id``, the fingerprints ``h1, h2`` and ``bands``.
+    """Stored: ``id``, ``print`` of the raw text, the fingerprints ``h1, h2`` and ``bands``.
 
-    Fingerprints are of the word sequence, or without words of the text as it is,
+    The latter fingerprints are of the word sequence, or without words of the text as it is,
     and null for null and empty text; bands are null without words.
     """
 
@@ -182,26 +186,40 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "id": ids[a:b],
+                        "print": batch["print"].to_numpy()[a:b],
                         "h1": pd.Series(h1.view(np.int64)).astype("Int64").where(filled),
                         "h2": pd.Series(h2.view(np.int64)).astype("Int64").where(filled),
                         "bands": [k if s else None for k, s in zip(keys, some)],
                     }
                 )
 
-    pairs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return materialize(pairs.mapInPandas(sign, "id long, h1 long, h2 long, bands array<long>"), "signatures")
+    rows = _printed(docs, key, text)
+    return materialize(rows.mapInPandas(sign, "id string, print long, h1 long, h2 long, bands array<long>").withColumn(
+        "id", F.col("id").cast("long")), "signatures")
+
+
+def _printed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, print of the text): what names a row. Ids are texts here, as numbers beside nulls become floating in pandas."""
+    return docs.select(F.col(key).cast("long").cast("string").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
 
 
 # -- links -------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(member, text) of the wanted members, one row each; the text is that of a row with the member's key and print."""
+    first = members.join(small_side(wanted), "member", "left_semi").select("member", F.col("id").cast("string").alias("i"), F.col("print").alias("p"))
+    first = small_side(materialize(first, "wanted"))
+    rows = _printed(docs, key, text)
+    found = rows.join(first, F.col("print").eqNullSafe(F.col("p")) & F.col("id").eqNullSafe(F.col("i")))
+    return found.select("member", "text").dropDuplicates(["member"])
+
+
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Stored: the pairs (a, b) with their exact likeness; each text moves once per pair and side."""
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # An id that is repeated with other texts would pair up with each of them: members are ids with one text.
-    texts = texts.join(small_side(materialize(ids, "pair-ids")), "id", "left_semi")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "pair-ids")
+    texts = _texts(docs, members, ids, key, text)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,8 +234,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
                     out[(a + k) // 2] = flatwords.weighted_jaccard(sets[k], sets[k + 1])
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "like": out})
 
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
+    full = pairs.join(texts.select(F.col("member").alias("a"), F.col("text").alias("ta")), "a").join(
+        texts.select(F.col("member").alias("b"), F.col("text").alias("tb")), "b"
     )
     return materialize(full.select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long, like double"), "likeness")
 
@@ -267,25 +285,37 @@ def contracted(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``id`` (the key) and ``class_id`` (least key of its class)."""
+def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per input row: id, print, class_no (null without a text) and class_id, the least key of the class."""
     signed = _signed(docs, key, text)
-    # Equal word sequences are one member, known by its least key; null and empty texts take no part.
-    least = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("member"), F.first("bands").alias("bands"))
-    members = materialize(least, "members")
-    rows = members.select("member", F.posexplode("bands").alias("band", "bucket")).where("member is not null")
+    # Equal word sequences are one member, with a number of its own; null and empty texts take no part.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("first")
+    least = signed.where("h1 is not null").groupBy("h1", "h2").agg(first, F.first("bands").alias("bands"))
+    numbered = least.select(F.monotonically_increasing_id().alias("member"), "h1", "h2", "first.id", "first.print", "bands")
+    members = materialize(numbered, "members")  # fixes the numbers
+    rows = members.select("member", F.posexplode("bands").alias("band", "bucket"))
     # The band is part of the bucket's fingerprint.  Only buckets of two or more members matter.
     shared = rows.groupBy("bucket").agg(F.min("member").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = materialize(rows.join(materialize(shared, "buckets"), "bucket"), "bucket-rows")
     led = rows.where("member <> lead").select(F.col("lead").alias("a"), F.col("member").alias("b")).distinct()
-    links = _verified(led, docs, key, text).where(F.col("like") >= LIKE).select("a", "b")
+    links = _verified(led, members, docs, key, text).where(F.col("like") >= LIKE).select("a", "b")
     roots = contracted(links)
     more = _across(rows, roots, members, docs, key, text)
     if not more.isEmpty():
         roots = contracted(links.union(more))
-    named = members.select("h1", "h2", "member").join(roots.withColumnRenamed("id", "member"), "member", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "member").alias("root"))
-    return signed.select("id", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", F.coalesce("root", "id").alias("class_id"))
+    roots = roots.withColumnRenamed("id", "member").join(members.select("member", "id"), "member")
+    names = roots.groupBy("root").agg(F.min("id").alias("name"))
+    linked = roots.join(small_side(materialize(names, "names")), "root").select("member", "root", "name")
+    named = members.select("h1", "h2", "member", "id").join(linked, "member", "left").select(
+        "h1", "h2", F.coalesce("root", "member").alias("class_no"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("name")).alias("name")
+    )
+    joined = signed.select("id", "print", "h1", "h2").join(named, ["h1", "h2"], "left")
+    return joined.select("id", "print", "class_no", F.when(F.col("class_no").isNull(), F.col("id")).otherwise(F.col("name")).alias("class_id"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: ``id`` (the key) and ``class_id`` (least key of its class)."""
+    return _classified(docs, key, text).select("id", "class_id")
 
 
 def _across(rows: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -305,7 +335,7 @@ def _across(rows: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFra
         "bucket", "band", "member", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
     ids = materialize(mixed.select("member").distinct(), "mixed-ids")
-    texts = docs.select(F.col(key).cast("long").alias("member"), F.col(text).alias("text")).join(small_side(ids), "member", "left_semi")
+    texts = _texts(docs, members, ids, key, text)
     info = texts.join(members.select("member", "bands").join(small_side(ids), "member", "left_semi"), "member")
     unit = dealt.join(info, "member").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -359,17 +389,26 @@ def _block_links(unit: pd.DataFrame) -> pd.DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows without those whose class has a row of a lesser key; input columns only.
 
-    Rows without a key stay, as nothing can name them.  Of rows that repeat a
-    key in one class, one stays: the first by text and the other columns.
+    A row without a key comes last in its class. Of rows that repeat a key in
+    one class one stays, the first by text and the other columns; rows of
+    different classes stay, also under one key.
     """
-    named = materialize(classes(docs, key, text).select("id", "class_id"), "classes")
-    gone = materialize(named.where("id <> class_id").select("id").distinct(), "gone")
-    twice = materialize(named.where("id = class_id").groupBy("id").count().where("count > 1").select("id"), "twice")
-    ids = F.col(f"`{key}`").cast("long")
-    kept = docs.join(small_side(gone), ids == gone["id"], "left_anti")
+    named = materialize(_classified(docs, key, text).where("class_no is not null").select("id", "print", "class_no"), "classes")
+    rows = materialize(named.groupBy("class_no", "id", "print").agg(F.count("*").alias("copies")), "class-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("first")
+    several = rows.groupBy("class_no").agg(first, F.count("*").alias("n")).where("n > 1").select("class_no", "first")
+    judged = rows.join(small_side(materialize(several, "class-firsts")), "class_no")
+    mine = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("print") == F.col("first.print"))
+    gone = materialize(judged.where(~mine).select(F.col("id").alias("_id"), F.col("print").alias("_print")), "gone")
+    twice = rows.where("copies > 1").select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    twice = materialize(twice, "twice")
+    one = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_print"))
+    filled = F.coalesce(F.length(F.col(f"`{text}`")) > 0, F.lit(False))
+    kept = docs.join(small_side(gone), one & filled, "left_anti")
     if twice.isEmpty():
         return kept
-    once = kept.join(small_side(twice), ids == twice["id"], "left_anti")
-    copies = kept.join(small_side(twice), ids == twice["id"], "left_semi")
-    firsts = copies.groupBy(ids.alias("__key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    once = kept.join(small_side(twice), one & filled, "left_anti")
+    copies = kept.where(filled).join(small_side(twice), one, "left_semi")
+    groups = [F.col(f"`{key}`").cast("long").alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__print")]
+    firsts = copies.groupBy(*groups).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return once.union(firsts.select("row.*"))
