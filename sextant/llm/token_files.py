@@ -10,8 +10,8 @@ all blocks are coded side by side and any block can be read alone.
 *Files.*  A file image is: magic, counts, the key, length and null mark of each
 document, block offsets, words.  It is self-contained and checked when read.
 Images are rows of a Parquet table, because its commit protocol survives lost
-executors and works on any store that Spark can write; ``export`` of the bytes
-needs no more than writing them out.
+executors and works on any store that Spark can write. ``read_documents`` reads
+some documents of an image by decoding only the blocks they lie in.
 
 *Order.*  Texts are encoded where they lie, and only the packed ids are
 shuffled: to key ranges found by quantiles, each sorted and cut into files of
@@ -27,7 +27,6 @@ empty table gives an empty result; only key and text are read.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import os
 import re
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sextant.llm import worker
+from sextant.llm import flatwords
 from sextant.scratch import materialize
 
 END_ID = 0
@@ -50,6 +49,8 @@ FILE_IDS = 500_000
 #: Documents in a key range, about; ranges are at least as many as shuffle partitions.
 RANGE_ROWS = 200_000
 SEEN = 1_000_000
+#: Words kept by themselves, for pieces that differ in their stop alone.
+WORDS = 200_000
 CHARACTERS = 2_000_000
 #: Pieces of text that go through one call of the library.
 JOINT = 5_000
@@ -153,8 +154,8 @@ def file_image(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) ->
     return MAGIC + struct.pack("<QQQI", len(keys), len(offsets) - 1, len(words), zlib.crc32(body)) + body
 
 
-def read_image(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Keys, lengths and ids of a file; a damaged one raises."""
+def _parts(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, lengths, block offsets and words of a file; a damaged one raises."""
     head = struct.calcsize("<QQQI")
     docs, blocks, n_words, check = struct.unpack("<QQQI", data[4 : 4 + head])
     body = data[4 + head :]
@@ -169,15 +170,37 @@ def read_image(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         return out
 
     keys, null, lengths = take("<i8", docs), take("u1", docs), take("<u8", docs)
-    take("<u8", blocks + 1)
-    ids = decode_blocks(take("<u8", n_words).astype(np.uint64))
-    return [None if m else int(k) for k, m in zip(keys, null)], lengths.astype(np.int64), ids
+    offsets, words = take("<u8", blocks + 1), take("<u8", n_words)
+    return [None if m else int(k) for k, m in zip(keys, null)], lengths.astype(np.int64), offsets.astype(np.int64), words.astype(np.uint64)
+
+
+def read_image(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Keys, lengths and ids of a file."""
+    keys, lengths, _, words = _parts(data)
+    return keys, lengths, decode_blocks(words)
+
+
+def read_documents(data: bytes, first: int, stop: int) -> list[np.ndarray]:
+    """Ids of the documents from place ``first`` to before ``stop``; only their blocks are decoded."""
+    _, lengths, offsets, words = _parts(data)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])[first : stop + 1]
+    if len(bounds) < 2:
+        return []
+    block, last = int(bounds[0]) // BLOCK, -(-int(bounds[-1]) // BLOCK)
+    ids = decode_blocks(words[offsets[block] : offsets[max(last, block)]])
+    return [ids[a:b] for a, b in zip(bounds - block * BLOCK, (bounds - block * BLOCK)[1:])]
 
 
 # -- jobs --------------------------------------------------------------------
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
+# Texts with these are encoded whole: four control characters and white space beyond ASCII.
+_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*b"\t\n\v\f\r "]] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Slots that lead to known pieces; a power of two.
+SLOTS = 1 << 21
+_SLOT = np.uint64(SLOTS - 1)
 
 
 def id_kind(definition: str) -> str:
@@ -195,12 +218,11 @@ def token_bytes(definition: str) -> np.ndarray:
     return np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
 
 
-class ChunkEncoder:
+class PieceEncoder:
     """A library tokenizer asked once per piece of text that it treats on its own.
 
     The byte-level pattern never joins a word with what follows its white space,
-    so white space plus word is such a piece.  Texts with separators that Python
-    and the library class differently are encoded whole.
+    so white space plus word is such a piece.
     """
 
     def __init__(self, definition: str):
@@ -211,32 +233,25 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.widths = token_bytes(definition)
-        # Answers stay with the worker process for its next task.
-        self.seen: dict[str, bytes] = worker.kept("pieces " + hashlib.md5(definition.encode()).hexdigest())
         self.kind = id_kind(definition)
+        self.words: dict[str, bytes] = {}
 
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        seen = self.seen
-        pieces = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        asked = set(itertools.chain.from_iterable(p for p in pieces if p is not None))
-        if len(seen) > SEEN:
-            # What this batch asks for is kept, so common pieces outlive the rest.
-            common = {p: seen[p] for p in asked.intersection(seen)}
+    def pieces(self, asked: list[str]) -> list[bytes]:
+        """Packed ids of each of some distinct pieces."""
+        seen = self.words
+        if len(seen) > WORDS:
             seen.clear()
-            seen.update(common)
-        fresh = list(asked.difference(seen))
         # A full stop or comma after a letter is a piece of its own, so the word is asked for alone.
-        marked = [p for p in fresh if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
-        fresh = list({*fresh, *(p[:-1] for p in marked if p[:-1] not in seen), ".", ","}.difference(marked))
+        marked = [p for p in asked if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
+        fresh = list({*asked, *(p[:-1] for p in marked), ".", ","}.difference(marked).difference(seen))
         # Pieces that start with white space and end with a word stay apart when they follow each other,
         # so many go through one call; the bytes the tokens stand for tell whose they are.
         apart = [p for p in fresh if not (p[0].isspace() and not p[-1].isspace())]
         for p, e in zip(apart, self.tokenizer.encode_batch(apart, add_special_tokens=False)):
-            seen[p] = self.packed(e.ids)
+            seen[p] = np.array(e.ids, self.kind).tobytes()
         joint = [p for p in fresh if p not in seen]
         for k in range(0, len(joint), JOINT):
             part = joint[k : k + JOINT]
@@ -248,18 +263,142 @@ class ChunkEncoder:
                 seen[p] = ids[x:y]
         for p in marked:
             seen[p] = seen[p[:-1]] + seen[p[-1]]
-        return [
-            self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if one is None else b"".join(map(seen.__getitem__, one))
-            for t, one in zip(texts, pieces)
-        ]
+        return [seen[p] for p in asked]
+
+
+class FlatEncoder:
+    """Encodes many texts at once: pieces are marked in one flat array of bytes and found in a table of known pieces.
+
+    A piece of up to 16 bytes is two 64-bit numbers and a length, so it is
+    compared exactly and no Python object is made for it; a longer one is looked
+    up by its bytes. Two slots tell where a piece is in the table; one that was
+    pushed out of both is asked for again. Texts with separators that Python
+    and the library class differently, or with white space beyond ASCII, are
+    encoded whole.
+    """
+
+    #: Encoders by vocabulary, for the next task of the worker process; a new process starts without.
+    kept: dict[str, FlatEncoder] = {}
+
+    @classmethod
+    def of(cls, definition: str) -> FlatEncoder:
+        name = hashlib.md5(definition.encode()).hexdigest()
+        if name not in cls.kept:
+            cls.kept[name] = cls(definition)
+        return cls.kept[name]
+
+    def __init__(self, definition: str):
+        self.library = PieceEncoder(definition)
+        self.kind = self.library.kind
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = [np.full(SLOTS, -1, np.int32) for _ in range(2)]
+        self.long: dict[bytes, int] = {}
+        self.first, self.second = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.size, self.at, self.count = (np.zeros(1, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, self.kind)
+
+    def _known(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Place of each piece in the table, -1 if it is in neither slot."""
+        entry = self.slots[0][mark & _SLOT]
+        for slot in (1, None):
+            wrong = (entry < 0) | (self.first[entry] != first) | (self.second[entry] != second) | (self.size[entry] != size)
+            entry[wrong] = -1 if slot is None else self.slots[slot][(mark[wrong] >> np.uint64(32)) & _SLOT]
+        return entry.astype(np.int64)
+
+    def _add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """New entries; pieces of more than 16 bytes come with no mark in ``mark`` and after the others."""
+        begin, kind = len(self.size), self.pool.itemsize
+        count = np.array([len(x) // kind for x in ids], np.int64)
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(count) - count])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.kind)])
+        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
+        self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, count])
+        entry = np.arange(begin, begin + len(ids), dtype=np.int32)
+        short = entry[: len(mark)]
+        place = (mark & _SLOT).astype(np.int64)
+        free = self.slots[0][place] < 0
+        self.slots[0][place[free]] = short[free]
+        lost = self.slots[0][place] != short
+        self.slots[1][((mark[lost] >> np.uint64(32)) & _SLOT).astype(np.int64)] = short[lost]
+        return entry.astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        flat = [b"" if _WHOLE.search(t) else t.encode("utf-8") for t in texts]
+        sizes = np.array([len(x) for x in flat], np.int64)
+        stops = np.cumsum(sizes)
+        joined = b"".join(flat) + bytes(16)
+        data = np.frombuffer(joined, np.uint8)
+        n = len(data) - 16
+        if not n:
+            return [self.library.whole(t) if t else b"" for t in texts]
+        space = _IS_SPACE[data[:n]]
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens[(stops - sizes)[sizes > 0]] = True
+        start = np.flatnonzero(opens)
+        size = np.diff(np.append(start, n))
+        short = np.flatnonzero(size <= 16)
+        window = np.ndarray((n + 9,), "<u8", joined, 0, (1,))  # the eight bytes from every place on
+        at, length = start[short], size[short]
+        first = window[at] & _MASKS[np.minimum(length, 8)]
+        second = window[at + 8] & _MASKS[np.maximum(length - 8, 0)]
+        mark = flatwords.mix(first ^ flatwords.mix(second + length.astype(np.uint64)))
+        entry = np.empty(len(start), np.int64)
+        entry[short] = self._known(first, second, length, mark)
+        fresh = short[entry[short] < 0]
+        where = np.flatnonzero(entry[short] < 0)
+        # Pieces not known, once each; if two of one mark differ, by all that makes them what they are.
+        shape = np.stack([first[where], second[where], length[where].astype(np.uint64)], axis=1)
+        _, one, back = np.unique(mark[where], return_index=True, return_inverse=True)
+        if (shape[one][back] != shape).any():
+            _, one, back = np.unique(shape, axis=0, return_index=True, return_inverse=True)
+        asked = [joined[x : x + k].decode() for x, k in zip(at[where[one]].tolist(), length[where[one]].tolist())]
+        long_at = np.flatnonzero(size > 16)
+        keys = [joined[x : x + k] for x, k in zip(start[long_at].tolist(), size[long_at].tolist())]
+        new_long = list({k for k in keys if k not in self.long})
+        if asked or new_long:
+            ids = self.library.pieces([*asked, *(k.decode() for k in new_long)])
+            pad = np.zeros(len(new_long), np.uint64)
+            chosen = where[one]
+            added = self._add(
+                np.concatenate([first[chosen], pad]), np.concatenate([second[chosen], pad]),
+                np.concatenate([length[chosen], np.array([len(k) for k in new_long], np.int64)]), mark[chosen], ids,
+            )
+            entry[fresh] = added[: len(asked)][back.reshape(-1)]
+            self.long.update(zip(new_long, added[len(asked) :].tolist()))
+        entry[long_at] = [self.long[k] for k in keys]
+        count = self.count[entry]
+        ends = np.cumsum(count)
+        place = np.repeat(self.at[entry] - ends + count, count) + np.arange(int(ends[-1]))
+        ids = self.pool[place].tobytes()
+        cuts = np.concatenate([[0], ends])[np.searchsorted(start, np.concatenate([[0], stops]))] * self.pool.itemsize
+        out = [ids[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+        if len(self.size) > SEEN:
+            self._keep(np.unique(entry))
+        return [self.library.whole(t) if not f and t else o for t, f, o in zip(texts, flat, out)]
+
+    def _keep(self, used: np.ndarray) -> None:
+        """Only the entries of the last texts stay, so that common pieces outlive the rest."""
+        first, second, size, at, count, pool = self.first, self.second, self.size, self.at, self.count, self.pool
+        names = {e: k for k, e in self.long.items()}
+        self._clear()
+        used = np.concatenate([used[size[used] <= 16], used[size[used] > 16]])
+        short = used[size[used] <= 16]
+        mark = flatwords.mix(first[short] ^ flatwords.mix(second[short] + size[short].astype(np.uint64)))
+        ids = [pool[x : x + k].tobytes() for x, k in zip(at[used].tolist(), count[used].tolist())]
+        added = self._add(first[used], second[used], size[used], mark, ids)
+        self.long = {names[e]: k for e, k in zip(used[len(short) :].tolist(), added[len(short) :].tolist())}
 
 
 def _encoded(docs: DataFrame, definition: str, key: str, text: str) -> DataFrame:
     """(key, ids): ids of each text with the end id, packed as ``id_kind`` says."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(definition)
-        end = encoder.packed([END_ID])
+        encoder = FlatEncoder.of(definition)
+        end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
             keys, texts = batch["key"].astype("Int64"), batch["text"].fillna("").tolist()
             begin, total = 0, 0

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sextant.llm import bpe, near_dup
+from sextant.llm import bpe, near_dup, token_files
 from sextant.llm.queries import QUERIES, _vocabulary
 
 A = "the quick brown fox jumps over the lazy dog near the old river bank today"
@@ -66,3 +67,35 @@ def test_codec_query_equals_the_library(spark, sf):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_flat_encoder_equals_the_library(monkeypatch):
+    path = _vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+    rng = random.Random(8)
+    parts = ["a", "Word", " ", "  ", "\n", "\t", ".", ",", "é", "日本", "\xa0", "\x1c", "\x00", "'s", "42", "<|endoftext|>", "👩", "x" * 17, "\r\n", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["word " * 3000, "y" * 100_000]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for seen, slots in ((1_000_000, 1 << 21), (300, 1 << 4)):
+        monkeypatch.setattr(token_files, "SEEN", seen)
+        monkeypatch.setattr(token_files, "SLOTS", slots)
+        monkeypatch.setattr(token_files, "_SLOT", np.uint64(slots - 1))
+        encoder = token_files.FlatEncoder(definition)
+        for _ in range(2):
+            got = [x for k in range(0, len(texts), 600) for x in encoder.encode(texts[k : k + 600])]
+            assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == expected
+
+
+def test_documents_are_read_from_their_blocks():
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 5000, 0, 12, 9000, 1, 4096, 300])
+    ids = rng.integers(0, 50_000, int(lengths.sum())).astype(np.uint64)
+    image = token_files.file_image([*range(7), None], lengths, ids)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    for first in range(9):
+        for stop in range(first, 9):
+            found = token_files.read_documents(image, first, stop)
+            assert [x.tolist() for x in found] == [ids[bounds[k] : bounds[k + 1]].tolist() for k in range(first, stop)]
