@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import audit as A
+from sextant.operators import chunk_table as K
 from sextant.operators import retrieval as N
 from sextant.operators import texts as X
-from sextant.plans.catalog import Tables, query
+from sextant.plans.catalog import ORACLES, Tables, query
 from sextant.plans.inputs import SQL_LOG_SQL, sql_log
+from sextant.scratch import scratch_dir
 
 # -- chunks -----------------------------------------------------------------
 
@@ -51,13 +55,28 @@ def chunk_counts(t: Tables) -> DataFrame:
     """,
 )
 def chunk_upsert(t: Tables) -> DataFrame:
+    return X.upsert_chunks(*_chunk_versions(t))
+
+
+def _chunk_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A chunk table and the rows to be put into it."""
     key = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")
     current = t.documents.where("lang <> 'de'").select(key, "text", F.lit(0).cast("bigint").alias("version"))
     labelled = t.documents.join(t.labels, "doc_id").select(
         key, F.upper("source").alias("text"), F.col("quality").cast("bigint").alias("version")
     )
     german = t.documents.where("lang = 'de'").select(key, F.lower("source").alias("text"), F.lit(2).cast("bigint").alias("version"))
-    return X.upsert_chunks(current, labelled.unionByName(german))
+    return current, labelled.unionByName(german)
+
+
+@query("chunk_table_upsert", ORACLES["chunk_upsert"])
+def chunk_table_upsert(t: Tables) -> DataFrame:
+    """The same through a stored table, of which only the touched buckets are rewritten."""
+    current, incoming = _chunk_versions(t)
+    path = f"{scratch_dir(t.spark)}/sextant-chunks-{uuid.uuid4().hex}"
+    K.create_chunks(current, path)
+    K.merge_chunks(t.spark, path, incoming)
+    return K.read_chunks(t.spark, path)
 
 
 @query(
