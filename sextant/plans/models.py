@@ -85,3 +85,12 @@ def kmeans_clusters(t: Tables) -> DataFrame:
 @query("pca_2d")
 def pca_2d(t: Tables) -> DataFrame:
     return ml.pca_2d(_line_features(t))
+
+
+@query("automl_facts")
+def automl_facts(t: Tables) -> DataFrame:
+    """What was chosen and what it came to: task, target, first model of the board and reasons for distrust."""
+    found = ml.automl(_labelled_documents(t), ["doc_id"], "quality")
+    first = found.leaderboard.first()
+    facts = [("task", found.task), ("target", found.target), ("model", first["model"]), ("flags", ",".join(found.flags))]
+    return t.spark.createDataFrame(facts, "fact string, value string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.dates import date_parts, parse_mixed_date
 from sextant.operators import clean as C
+from sextant.operators import eda
 from sextant.operators import labels as L
 from sextant.operators import ml, roles
 from sextant.operators import profile as P
@@ -733,3 +734,54 @@ def _expand_markers() -> None:
 
 
 _expand_markers()
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+_ORDER_PAIRS = [("o_orderkey", "o_custkey"), ("o_orderkey", "o_totalprice"), ("o_custkey", "o_totalprice")]
+_EDA_PARTS = [
+    *[f"select 'missing' as section, '{c}' as \"column\", null as key, count(*) - count({c}) as n, "
+      f"100.0 * (count(*) - count({c})) / count(*) as value from orders" for c in _ORDER_COLUMNS],
+    *[f"select 'describe', '{c}', '{key}', count({c}), {stat}({c}) from orders"
+      for c in _ORDER_NUMBERS for key, stat in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))],
+    *[f"select 'correlation', '{a}', '{b}', count(*), corr({a}, {b}) from orders" for a, b in _ORDER_PAIRS],
+    *[f"select 'value_counts', '{c}', {c}, count(*), null from orders group by {c}" for c in ("o_orderstatus", "o_orderpriority")],
+    *[f"select 'histogram', '{c}', cast(cast(least(floor(({c} - low) / ((high - low) / 30)), 29) as bigint) as varchar), count(*), null "
+      f"from orders, (select cast(min({c}) as double) as low, cast(max({c}) as double) as high from orders) group by 3"
+      for c in _ORDER_NUMBERS],
+    *[f"select 'group_mean', '{c} by o_orderstatus', o_orderstatus, count({c}), avg({c}) from orders group by 3"
+      for c in ("o_totalprice", "o_orderkey", "o_custkey")],
+    *[f"select 'daily_mean', '{c} by o_orderdate', strftime(o_orderdate, '%Y-%m-%d'), count({c}), avg({c}) from orders group by 3"
+      for c in _ORDER_NUMBERS],
+]
+
+
+@query(
+    "eda_sections",
+    f"select section, \"column\", key, n, {sql_rounded('value', 6)} as value from ({' union all '.join(_EDA_PARTS)})",
+)
+def eda_sections(t: Tables) -> DataFrame:
+    return eda.eda_sections(t.orders).withColumn("value", rounded("value", 6))
+
+
+@query(
+    "task_types",
+    " union all ".join(
+        f"select '{c}' as target, case when {str(c in _ORDER_NUMBERS).lower()} and count(distinct {c}) > 10 "
+        "then 'regression' else 'classification' end as task from orders"
+        for c in _ORDER_COLUMNS
+    ) + " union all select null, 'clustering'",
+)
+def task_types(t: Tables) -> DataFrame:
+    """What kind of model each column would be a target of; without a target, clusters."""
+    rows = [(c, roles.task_type(t.orders, c)) for c in [*t.orders.columns, None]]
+    return t.spark.createDataFrame(rows, "target string, task string")
+
+
+@query(
+    "default_test_pair",
+    "select case when count(distinct o_orderstatus) <= count(distinct o_orderpriority) then 'o_orderstatus' "
+    "else 'o_orderpriority' end as group_col, 'o_totalprice' as metric_col from orders",
+)
+def default_test_pair(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([roles.default_test_pair(t.orders)], "group_col string, metric_col string")
