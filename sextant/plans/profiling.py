@@ -496,12 +496,37 @@ def auto_clean_log(t: Tables) -> DataFrame:
     )
 
 
-@query("quality_suggestions")
+_LABEL_GROUPS = (
+    "l as (select trim(priority) as label, count(*) as n from messy where trim(priority) <> '' group by 1), "
+    "p as (select *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as plain from l), "
+    "g as (select plain, min(struct_pack(a := -n, b := label)) as first, string_agg(label, ' | ' order by label) as labels, "
+    "cast(sum(n) as bigint) as n_rows from p group by plain having count(*) > 1)"
+)
+
+
+@query(
+    "quality_suggestions",
+    f"{MESSY_SQL}, {_LABEL_GROUPS}, b as ({_fence_sql('messy', 'total_price', 1.5)}), "
+    "facts as (select count(*) as n, (select count(*) from (select distinct * from messy)) as d, count(total_price) as prices, "
+    "count(priority) as priorities, (select count(*) from messy, b where total_price < low or total_price > high) as outside, "
+    "(select count(*) from g) as groups from messy) "
+    "select 'drop_duplicates' as action, null as \"column\", cast(n - d as double) as amount, true as auto from facts where n > d "
+    "union all select 'impute_median', 'total_price', round(100.0 * (n - prices) / n, 2), true from facts where n > prices "
+    "union all select 'impute_mode', 'priority', round(100.0 * (n - priorities) / n, 2), true from facts where n > priorities "
+    "union all select 'fix_dtype', 'amount_text', 1.0, true "
+    "union all select 'review_outliers', 'total_price', outside, false from facts where outside > 0 "
+    "union all select 'review_categories', 'priority', groups, false from facts where groups > 0",
+)
 def quality_suggestions(t: Tables) -> DataFrame:
     return C.quality_suggestions(t.messy)
 
 
-@query("quality_decisions")
+@query(
+    "quality_decisions",
+    f"{MESSY_SQL}, {_LABEL_GROUPS} select 'category_merge' as type, 'priority' as \"column\", "
+    "row_number() over (order by first) as group_no, labels, first.b as \"primary\", n_rows from g "
+    "union all select 'id_or_feature', 'order_id', 0, '', null, null",
+)
 def quality_decisions(t: Tables) -> DataFrame:
     return C.quality_decisions(t.messy).withColumn("labels", F.concat_ws(" | ", "labels"))
 
@@ -686,7 +711,17 @@ def suggested_groupings(t: Tables) -> DataFrame:
     return roles.suggested_groupings(money(t.lineitem))
 
 
-@query("insights")
+@query(
+    "insights",
+    f"{MESSY_SQL}, b as ({_fence_sql('messy', 'total_price', 2.5)}), "
+    "c as (select n, (select count(*) from messy where total_price > high) as up, "
+    "(select count(*) from messy where total_price < low) as down from b), "
+    "r as (select 2 as k, 'comparison' as kind, 'priority' as column_a, 'total_price' as column_b, cast(null as double) as value "
+    "union all select 3, 'modeling', 'total_price', null, null union all select 4, 'ranking', 'priority', 'order_id', null "
+    "union all select 5, 'spike', 'total_price', null, up from c where up > 0 and up <= greatest(3, 0.05 * n) "
+    "union all select 6, 'dip', 'total_price', null, down from c where down > 0 and down <= greatest(3, 0.05 * n)) "
+    "select row_number() over (order by k) as position, kind, column_a, column_b, value from r",
+)
 def insight_rows(t: Tables) -> DataFrame:
     return insights(t.messy)
 
