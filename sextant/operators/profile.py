@@ -22,7 +22,7 @@ from sextant.columns import (
     without_nan,
 )
 from sextant.functions.numbers import to_integer, to_number
-from sextant.operators.frequencies import columns_within, distinct_counts, frequent_values, value_counts_topk, value_frequencies
+from sextant.operators.frequencies import columns_within, distinct_counts, frequent_values, value_counts_topk
 from sextant.operators.joins import small_side
 from sextant.operators.quantiles import ONE_TASK_ROWS, column_quantiles
 from sextant.scratch import materialize

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sextant.operators import relational as R
 from sextant.operators.difference import table_diff as table_differences
-from sextant.operators.joins import small_side
 from sextant.operators.joinkeys import discover_join_keys
 from sextant.plans.catalog import Tables, query, rounded, sql_rounded
 from sextant.plans.inputs import MESSY_SQL

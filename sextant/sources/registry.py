@@ -9,7 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.columns import quoted, without_nan
+from sextant.columns import without_nan
 from sextant.operators.audit import is_read_only
 from sextant.operators.joinkeys import discover_join_keys
 from sextant.operators.difference import table_diff

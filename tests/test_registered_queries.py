@@ -11,7 +11,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 # Covered by unit tests on smaller data; they train models.
-SLOW = {"clf_leaderboard", "reg_leaderboard", "feature_importance", "kmeans_clusters", "pca_2d", "encoded_features"}
+SLOW = {"clf_leaderboard", "reg_leaderboard", "feature_importance", "automl_facts"}
 
 
 @pytest.fixture(scope="module")
