@@ -42,6 +42,8 @@ MAX_CATEGORIES = 20
 MISSING = "missing"
 POOLED = "infrequent"
 SEED = 42
+#: Encoded rows of one task while models are fitted. Each level of each tree is a job, so that small tasks cost most.
+FIT_TASK_ROWS = 25_000
 
 
 # -- preparation ------------------------------------------------------------
@@ -293,9 +295,13 @@ def train_models(
 ) -> Trained:
     """Fit every candidate on the training rows and rank them on the held-out rows.
 
-    The encoder is fitted on training rows only. Encoded rows are cached once
-    for all candidates and may spill to disk. Candidates are fitted a few at a
-    time, as in Spark's own tuning, so that short stages of one overlap another.
+    The encoder is fitted on training rows only. The split is stored, as it is
+    read several times. Encoded rows are dealt out by key, in key order, and
+    cached once for all candidates; they may spill to disk. What a model learns
+    then depends on the rows, not on how their files were cut. Candidates are
+    fitted a few at a time, as in Spark's own tuning, so that short stages of one
+    overlap another. A boosted model of few rounds is the start of the one of
+    more rounds and is not fitted for itself unless it wins.
     """
     spark = features.data.sparkSession
     data = pool_rare(features.data, features.categorical).where(quoted(features.target).isNotNull())
@@ -305,6 +311,7 @@ def train_models(
     else:
         data = data.withColumn("_y", as_double(data, features.target)).where("_y is not null")
         split = stratified_split(data, None, key)
+    split = materialize(split, "split")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     stages = encoder(features)
     n_classes = 0
@@ -314,34 +321,42 @@ def train_models(
     fitted = stages.fit(train)
     if task == "classification":
         n_classes = len(fitted.stages[-1].labels)
+    n_train, n_test = train.count(), test.count()
     encoded = [
-        fitted.transform(part).select("features", "_y").persist(StorageLevel.MEMORY_AND_DISK) for part in (train, test)
+        fitted.transform(_dealt(part, key, n)).select("features", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+        for part, n in ((train, n_train), (test, n_test))
     ]
     try:
-        n_train, n_test = encoded[0].count(), encoded[1].count()
         measure = _classification_metrics if task == "classification" else _regression_metrics
 
-        def fit(candidate: tuple[str, str, object]) -> tuple[str, object, dict[str, float]]:
-            _, name, estimator = candidate
+        def fit(group: list[tuple[str, str, object]]) -> list[tuple[str, object, object, dict[str, float]]]:
+            *starts, (_, name, estimator) = group
             model = estimator.fit(encoded[0])
-            return name, model, measure(model.transform(encoded[1]))
+            found = [
+                (n, e, None, measure(_predicted_by_first(model, e.getMaxIter(), encoded[1], task))) for _, n, e in starts
+            ]
+            return [*found, (name, estimator, model, measure(model.transform(encoded[1])))]
 
-        grid = [c for c in _grid(task, n_train, n_classes) if c[0] in families]
+        groups = _one_fit_each([c for c in _grid(task, n_train, n_classes) if c[0] in families])
         with ThreadPoolExecutor(parallelism) as pool:
             # The slowest candidates come last in the grid and are started first.
-            results = list(pool.map(inheritable_thread_target(spark)(fit), reversed(grid)))[::-1]
+            fits = list(pool.map(inheritable_thread_target(spark)(fit), reversed(groups)))[::-1]
+        results = [r for group in fits for r in group]
+        if task == "classification":
+            results.sort(key=lambda r: -r[-1]["f1"])
+        else:
+            results.sort(key=lambda r: (-r[-1]["r2"], r[-1]["rmse"]))
+        best_name, estimator, best_model, best = results[0]
+        best_model = best_model or estimator.fit(encoded[0])
         names = _feature_names(encoded[0], features.numeric)
     finally:
         for part in encoded:
             part.unpersist()
     if task == "classification":
-        results.sort(key=lambda r: -r[2]["f1"])
         schema, columns = LEADERBOARD_CLASSIFICATION, ("accuracy", "f1")
     else:
-        results.sort(key=lambda r: (-r[2]["r2"], r[2]["rmse"]))
         schema, columns = LEADERBOARD_REGRESSION, ("rmse", "r2")
-    board = [(i + 1, name, *[m[c] for c in columns]) for i, (name, _, m) in enumerate(results)]
-    best_name, best_model, best = results[0]
+    board = [(i + 1, name, *[m[c] for c in columns]) for i, (name, _, _, m) in enumerate(results)]
     ranked = sorted(zip(names, _importances(best_model, len(names))), key=lambda x: (-x[1], x[0]))
     importance = [(i + 1, f, float(v)) for i, (f, v) in enumerate(ranked)]
     return Trained(
@@ -354,6 +369,31 @@ def train_models(
     )
 
 
+def _dealt(rows: DataFrame, key: Sequence[str], n: int) -> DataFrame:
+    """Rows dealt out by a hash of their key, to tasks whose number depends on theirs alone, each in key order."""
+    tasks = max(1, math.ceil(n / FIT_TASK_ROWS))
+    keys = [quoted(c) for c in key]
+    return rows.repartition(tasks, *keys).coalesce(tasks).sortWithinPartitions(*keys)
+
+
+def _one_fit_each(grid: list[tuple[str, str, object]]) -> list[list[tuple[str, str, object]]]:
+    """Candidates of the grid, those together that differ in the rounds of boosting only, fewest first."""
+    groups: dict[object, list] = {}
+    for c in grid:
+        boosted = isinstance(c[2], (GBTClassifier, GBTRegressor))
+        groups.setdefault(c[2].getMaxDepth() if boosted else c[1], []).append(c)
+    return [sorted(g, key=lambda c: c[2].getMaxIter()) if len(g) > 1 else g for g in groups.values()]
+
+
+def _predicted_by_first(model: object, n: int, rows: DataFrame, task: str) -> DataFrame:
+    """Rows with the prediction of the first trees: each round adds a tree and changes none before it."""
+    margin = F.lit(0.0)
+    for i, (tree, weight) in enumerate(zip(model.trees[:n], model.treeWeights[:n])):
+        rows = tree.setPredictionCol(f"_tree{i}").transform(rows)
+        margin = margin + F.lit(weight) * F.col(f"_tree{i}")
+    return rows.withColumn("prediction", (margin > 0).cast("double") if task == "classification" else margin)
+
+
 def _feature_names(encoded: DataFrame, numeric: Sequence[str]) -> list[str]:
     """Names of the vector's slots: numeric columns by name, categories as column_label."""
     groups = encoded.schema["features"].metadata["ml_attr"]["attrs"].values()

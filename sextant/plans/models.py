@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from sextant.operators import ml
 from sextant.plans.catalog import Tables, query
+from sextant.scratch import materialize
 
 
 def _labelled_documents(t: Tables) -> DataFrame:
-    return t.labels.join(t.documents, "doc_id").select(
+    """Facts of the labelled documents, stored, as preparation reads them many times and the texts need not be."""
+    rows = t.labels.join(t.documents, "doc_id").select(
         "doc_id", "lang", "source", "n_chars", F.length(F.regexp_replace("text", r"\S", "")).alias("n_spaces"), "toxic", "quality"
     )
+    return materialize(rows, "labelled")
 
 
 @query("encoded_features")
