@@ -68,7 +68,7 @@ def _order_value_models(t: Tables) -> ml.Trained:
     rows = t.customer.join(habits, F.col("c_custkey") == F.col("o_custkey")).select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_orders", "largest", "mean_month", "mean_price"
     )
-    prepared = ml.prepare_features(rows, "mean_price", keep=["c_custkey"])
+    prepared = ml.prepare_features(materialize(rows, "customers"), "mean_price", keep=["c_custkey"])
     return ml.train_models(prepared, "regression", ["c_custkey"])
 
 
