@@ -40,23 +40,30 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], keep_null: bool = F
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact number of distinct non-null values per column."""
     columns = list(columns or df.columns)
-    counted = value_frequencies(df, columns).groupBy("column").agg(F.count("*").alias("n_distinct"))
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return every.join(counted, "column", "left").select(
-        "column", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct")
-    )
+    counts = distinct_counts(df, columns)
+    return df.sparkSession.createDataFrame([(c, counts[c]) for c in columns], "column string, n_distinct bigint")
 
 
 def cardinalities(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Schema-sized driver copy of :func:`cardinality`."""
-    if not columns:
-        return {}
-    return {r["column"]: r["n_distinct"] for r in cardinality(df, columns).collect()}
+    return distinct_counts(df, columns)
+
+
+#: Types whose cells are told apart by their own 64 bits, without being written as text.
+_PLAIN = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DateType, T.TimestampType)
+
+
+def _cell(df: DataFrame, name: str):
+    """Value by which equal cells are told: numbers and times as they are (zero has no sign), all others as text."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return as_double(df, name) + F.lit(0.0)
+    return quoted(name) if isinstance(kind, _PLAIN) else value_text(df, name)
 
 
 def _prints(df: DataFrame, name: str) -> list:
     """128-bit fingerprint of a non-null cell, in two numbers."""
-    return [F.xxhash64(F.lit(seed), value_text(df, name)) for seed in (1, 2)]
+    return [F.xxhash64(F.lit(seed), _cell(df, name)) for seed in (1, 2)]
 
 
 def _estimates(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -77,7 +84,7 @@ def proven_above(df: DataFrame, limits: dict[str, float], estimates: dict[str, i
     cells = []
     for c, every in tried.items():
         mark, _ = _prints(df, c)
-        chosen = value_text(df, c).isNotNull() & (F.pmod(mark, F.lit(every)) == 0)
+        chosen = _cell(df, c).isNotNull() & (F.pmod(mark, F.lit(every)) == 0)
         cells.append(F.struct(F.lit(c).alias("column"), F.when(chosen, mark).alias("mark")))
     seen = df.select(F.inline(F.array(*cells))).where("mark is not null").distinct()
     counts = {r["column"]: r["n"] for r in seen.groupBy("column").agg(F.count("*").alias("n")).collect()}
@@ -117,12 +124,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     if not columns:
         return {}
     cells = []
-    for c in columns:
+    for k, c in enumerate(columns):
         marks = F.struct(*[m.alias(f"m{i}") for i, m in enumerate(_prints(df, c))])
-        cells.append(F.struct(F.lit(c).alias("column"), F.when(value_text(df, c).isNotNull(), marks).alias("marks")))
-    seen = df.select(F.inline(F.array(*cells))).where("marks is not null").select("column", "marks.m0", "marks.m1").distinct()
-    counts = {r["column"]: r["n"] for r in seen.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    return {c: counts.get(c, 0) for c in columns}
+        cells.append(F.struct(F.lit(k).alias("k"), F.when(_cell(df, c).isNotNull(), marks).alias("marks")))
+    seen = df.select(F.inline(F.array(*cells))).where("marks is not null").select("k", "marks.m0", "marks.m1").distinct()
+    counts = {r["k"]: r["n"] for r in seen.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    return {c: counts.get(k, 0) for k, c in enumerate(columns)}
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], share: float) -> DataFrame:

@@ -162,8 +162,14 @@ def column_roles(df: DataFrame) -> DataFrame:
 
 
 def suggested_groupings(df: DataFrame, limit: int = 3, max_levels: int = 30) -> DataFrame:
-    """Up to three (category, metric) pairs: fewest levels first, KPI-named metrics first."""
+    """Up to three (category, metric) pairs: fewest levels first, KPI-named metrics first.
+
+    Every pair is of the first category unless the metrics run out, so values
+    are counted only of metrics that can come so early.
+    """
     numbers, categories = numeric_columns(df), categorical_columns(df)
+    named = [c for c in numbers if _mentions(c, KPI_NAME_PARTS)]
+    numbers = named if len(named) >= limit else numbers
     few = columns_within(df, categories, max_levels)
     distinct = cardinalities(df, numbers + few) if few else {}
     place = {c: i for i, c in enumerate(df.columns)}
