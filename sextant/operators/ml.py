@@ -442,15 +442,13 @@ def _encoded_for_clustering(features: Features) -> DataFrame:
 def kmeans_clusters(features: Features, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with their cluster, one row per cluster with size, share and overall silhouette)."""
     rows = _encoded_for_clustering(features).select(*[quoted(c) for c in features.keep], "features")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = rows.count()
-        model = KMeans(k=k or cluster_number(n), seed=SEED, featuresCol="features", predictionCol="cluster").fit(rows)
-        assigned = model.transform(rows)
-        silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
-        sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n_rows")).collect()  # k rows
-    finally:
-        rows.unpersist()
+    # Stored and not cached here: the fit keeps its own decoded vectors, unless it is given a cached frame.
+    rows = materialize(rows, "encoded")
+    n = rows.count()
+    model = KMeans(k=k or cluster_number(n), seed=SEED, featuresCol="features", predictionCol="cluster").fit(rows)
+    assigned = model.transform(rows)
+    silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n_rows")).collect()  # k rows
     summary = rows.sparkSession.createDataFrame(
         [(r["cluster"], r["n_rows"], r["n_rows"] / n, silhouette) for r in sizes],
         "cluster int, n_rows bigint, share double, silhouette double",
