@@ -2,22 +2,25 @@
 
 One walk over the tags of a page gives its text in pieces, cut at block
 elements, and the stretch of pieces that each element covers.  Three rules
-remove elements:
-
-* their kind: menus, headers, footers, sidebars, forms, scripts, styles, and
-  elements whose class, id or role says advert, notice, comment and the like.
-  An element around the article is never removed for its name;
-* the site: every subtree left is hashed (tags and text); Spark counts on how
-  many pages of a host each hash comes, and subtrees that recur on many pages
-  are deleted.  Copies of one article are one page in that count, told by the
-  longest block, so that a mirrored text is no template.  Prose inside a marked
-  article is never deleted for recurring, since quoted passages do; elsewhere
-  prose must be on at least half of the host's pages;
+remove elements, in this order:
+
+* the site: every subtree with text is hashed (tags and text); Spark counts on
+  how many pages of a host each hash comes, and subtrees that recur on many
+  pages are deleted.  Copies of one article are one page in that count, told by
+  the longest block, so that a mirrored text is no template.  Prose must be on
+  at least half of the host's pages, and inside a marked article it is never
+  deleted, since quoted passages recur.  A whole article that recurs is a
+  teaser of the site, unless it is all that the page has marked;
+* their kind: of what is left, menus, headers, footers, sidebars, forms,
+  scripts, styles, and elements whose class, id or role says advert, notice,
+  comment and the like.  An element around the article is never removed for its
+  name;
 * the article: a page that marks its article (articleBody, <article>, <main>)
-  keeps what is inside the mark.
+  keeps what is left inside the mark.
 
 Pages are counted by (host, hash), which splits a host with a third of all
-rows; what is deleted from a page is joined back by a fingerprint of the page.
+rows.  Templates go to the pages as one small row a host; if they are too many
+for that, each page's own are joined back by a fingerprint of the page.
 
 Defined cases: null and empty html give an empty text; a null url is the host
 ''; a page cut off in the middle ends there; repeated rows are all returned and
@@ -253,13 +256,41 @@ def _spread(ranges: list[tuple[int, int]], size: int) -> bytearray:
     return flags
 
 
+def _subtrees(page: Page) -> list[tuple[int, bool | None, int | None]]:
+    """Hash of each subtree, whether it is prose (None: of an article, never deleted), and its size if it is one block."""
+    out, marked_until = set(), 0
+    words, chars = [0], [0]
+    for p in page.pieces:
+        parts = p.split() if p else ()
+        words.append(words[-1] + len(parts))
+        chars.append(chars[-1] + sum(map(len, parts)))
+    for e in page.elements:
+        inside = e.begin < marked_until
+        if e.mark or e.named and not e.has_mark:
+            marked_until = max(marked_until, e.end)
+        n = words[e.end] - words[e.begin]
+        if not n or not e.digest or e.tag in ("head", "html", "body", "main") or e.tag in INLINE or e.has_mark:
+            continue
+        prose = e.prose or e.tag in PROSE
+        size = None if e.inner else chars[e.end] - chars[e.begin]
+        if not (prose and inside):
+            out.add((_signed(e.digest), bool(prose or e.mark or n >= PROSE_WORDS), size))
+        elif size:
+            out.add((_signed(e.digest), None, size))
+    return list(out)
+
+
+def _signed(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
 class Judged:
-    """A page after the rules that look at it alone: which pieces are left, and where its article is marked."""
+    """A page without the templates of its site, judged by the rules that look at it alone."""
 
-    def __init__(self, source: str | None, hashes: bool = False):
-        self.page = page = Page(source or "", hashes)
+    def __init__(self, source: str | None, templates: frozenset = frozenset()):
+        self.page = page = Page(source or "", bool(templates))
         size = len(page.pieces)
-        removed = []
+        removed = self._recurring(templates) if templates else []
         until = 0
         inside_mark_until = 0
         for e in page.elements:
@@ -281,6 +312,24 @@ class Judged:
         if self.marked is None:
             self._drop_menus()
 
+    def _recurring(self, templates: frozenset) -> list[tuple[int, int]]:
+        """Stretches of the elements that are templates; articles only beside one that is none."""
+        found, until, inside = [], 0, 0
+        marks = [e for e in self.page.elements if e.mark and not e.has_mark]
+        own = any(not (e.digest and _signed(e.digest) in templates) for e in marks)
+        for e in self.page.elements:
+            if e.begin < until:
+                continue
+            within = e.begin < inside
+            if e.mark or e.named and not e.has_mark:
+                inside = max(inside, e.end)
+            prose = e.prose or e.tag in PROSE
+            if not e.digest or e.has_mark or _signed(e.digest) not in templates or within and prose or e.mark and not own:
+                continue
+            found.append((e.begin, e.end))
+            until = e.end
+        return found
+
     def _all_but_headings(self, header: _Element) -> list[tuple[int, int]]:
         out, at = [], header.begin
         for e in self.page.elements:
@@ -329,33 +378,11 @@ class Judged:
                 if n and linked[e.end] - linked[e.begin] >= LINK_SHARE * n:
                     self.left[e.begin : e.end] = bytes(e.end - e.begin)
 
-    def subtrees(self) -> list[tuple[int, bool, int | None]]:
-        """Hash of each subtree that may be deleted for recurring, whether it is prose, and its size if it is one block."""
-        page, out = self.page, set()
-        for e in page.elements:
-            if not e.digest or e.tag in ("html", "body", "main", "article") or e.tag in INLINE or e.mark or e.has_mark:
-                continue
-            inside = self.marked is None or any(b <= e.begin and e.end <= f for b, f in self.marked)
-            if not inside or not any(self.left[e.begin : e.end]):
-                continue
-            prose = e.prose or e.tag in PROSE
-            if prose and self.marked is not None:
-                continue
-            words = " ".join(p or "" for p in page.pieces[e.begin : e.end]).split()
-            if words:
-                size = None if e.inner else sum(map(len, words))
-                out.add((int.from_bytes(e.digest, "little", signed=True), prose or len(words) >= PROSE_WORDS, size))
-        return list(out)
-
-    def blocks(self, templates: frozenset = frozenset()) -> list[str]:
-        kept = bytearray(self.left)
+    def blocks(self) -> list[str]:
+        kept = self.left
         if self.marked is not None:
             inside = _spread(self.marked, len(kept))
             kept = bytearray(a & b for a, b in zip(kept, inside))
-        if templates:
-            for e in self.page.elements:
-                if e.digest and int.from_bytes(e.digest, "little", signed=True) in templates:
-                    kept[e.begin : e.end] = bytes(e.end - e.begin)
         return self.page.blocks(kept)
 
 
@@ -368,7 +395,7 @@ def _find_subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for host, a, b, source in zip(batch["host"], batch["a"], batch["b"], batch["html"]):
-            found = Judged(source, hashes=True).subtrees()
+            found = _subtrees(Page(source or "", True))
             out += [(host, a, b, *s) for s in found or [(None, None, None)]]
         # As objects first: numbers beside a missing value would become floating.
         frame = pd.DataFrame(out, columns=["host", "a", "b", "subtree", "prose", "size"], dtype=object)
@@ -380,7 +407,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for source, templates in zip(batch["html"], batch["templates"]):
             gone = frozenset() if templates is None else frozenset(int(t) for t in templates)
-            texts.append("\n\n".join(Judged(source, hashes=bool(gone)).blocks(gone)))
+            texts.append("\n\n".join(Judged(source, gone).blocks()))
         yield pd.DataFrame(
             {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
         )
@@ -400,8 +427,8 @@ def templates(found: DataFrame) -> DataFrame:
 
     ``found`` is stored: a row per page and subtree, or one row without a subtree.
     """
-    found = found.dropDuplicates(["host", "a", "b", "subtree"])
     trees = found.where("subtree is not null")
+    # Rows that a repeated page adds can only make a candidate more; pages are counted once each below.
     counts = trees.groupBy("host", "subtree").agg(F.count("*").alias("n"))
     often = small_side(materialize(counts.where(F.col("n") >= MIN_PAGES), "frequent"))
     rare = trees.where("size is not null").join(often, ["host", "subtree"], "left_anti")
@@ -416,7 +443,7 @@ def templates(found: DataFrame) -> DataFrame:
 
     of = distinct(found, "host").select("host", F.col("pages").alias("of"))
     share = F.when(F.col("prose"), F.lit(PROSE_SHARE)).otherwise(F.lit(LAYOUT_SHARE))
-    recurring = distinct(trees.join(often, ["host", "subtree"], "left_semi"), "host", "subtree")
+    recurring = distinct(trees.where("prose is not null").join(often, ["host", "subtree"], "left_semi"), "host", "subtree")
     recurring = recurring.where(F.col("pages") >= MIN_PAGES).join(of, "host")
     return recurring.where(F.col("pages") >= share * F.col("of")).select("host", "subtree")
 
@@ -430,10 +457,15 @@ def extract(pages: DataFrame) -> DataFrame:
         ),
         "subtrees",
     )
-    often = small_side(materialize(templates(found), "templates"))
-    gone = found.where("subtree is not null").join(often, ["host", "subtree"]).groupBy("a", "b")
-    gone = materialize(gone.agg(F.collect_set("subtree").alias("templates")), "page-templates")
-    joined = keyed.drop("host").join(small_side(gone), ["a", "b"], "left")
+    often = materialize(templates(found), "templates")
+    by_host = materialize(often.groupBy("host").agg(F.collect_set("subtree").alias("templates")), "host-templates")
+    side = small_side(by_host)
+    if side is not by_host:
+        joined = keyed.join(side, "host", "left")
+    else:
+        gone = found.where("subtree is not null").join(small_side(often), ["host", "subtree"]).groupBy("a", "b")
+        gone = materialize(gone.agg(F.collect_set("subtree").alias("templates")), "page-templates")
+        joined = keyed.join(small_side(gone), ["a", "b"], "left")
     return joined.select("page_id", "url", "html", "templates").mapInPandas(
         _extract, "page_id long, url string, text string, n_chars long"
     )
