@@ -29,10 +29,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -43,14 +43,15 @@ from pyspark.sql import Window as W
 from sextant.llm import flatwords
 from sextant.scratch import materialize
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 0
 BLOCK = 4096
 FILE_IDS = 500_000
 #: Documents in a key range, about; ranges are at least as many as shuffle partitions.
 RANGE_ROWS = 200_000
 SEEN = 1_000_000
-#: Words kept by themselves, for pieces that differ in their stop alone.
-WORDS = 200_000
 CHARACTERS = 2_000_000
 #: Pieces of text that go through one call of the library.
 JOINT = 5_000
@@ -60,6 +61,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64((1 << 60) - 1)
 _PAYLOAD = np.uint64((1 << 60) - 1)
+_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.int8)
 MAGIC = b"S8B1"
 
 # -- code --------------------------------------------------------------------
@@ -67,46 +69,52 @@ MAGIC = b"S8B1"
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks in order, and the offset of each block's first word (one more than blocks)."""
-    ids = ids.astype(np.uint64)
     n = len(ids)
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    stop = np.minimum((np.arange(blocks) + 1) * block, n)
-    end = np.repeat(stop, np.diff(np.append(np.arange(blocks) * block, n)))
-    # The selector at each place: the first whose run of ids is all narrow enough and inside the block.
-    choice = np.full(n, 15, np.int8)
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # bits; one more is possible beyond 53, where 60 follow
-    open_ = np.ones(n, bool)
-    for s in range(15):
-        # Places of narrow ids; a run of them shows in its last place being as far as it is long.
-        at, run = np.flatnonzero(width <= WIDTHS[s]), COUNTS[s] - 1
-        if len(at) <= run:
-            continue
-        place = at[: len(at) - run][at[run:] - at[: len(at) - run] == run]
-        place = place[open_[place] & (place + run < end[place])]
-        choice[place] = s
-        open_[place] = False
-    starts, owner = [], []
-    at = np.arange(blocks) * block
-    alive = np.arange(blocks)
-    while len(alive):
-        starts.append(at[alive])
-        owner.append(alive)
-        at[alive] += COUNTS[choice[at[alive]]]
-        alive = alive[at[alive] < stop[alive]]
-    start, owner = np.concatenate(starts), np.concatenate(owner)
-    order = np.argsort(start, kind="stable")
-    start, owner = start[order], owner[order]
+    width = np.full(blocks * block, 127, np.int8)  # what follows the last id is wider than any selector takes
+    # Bits of each id; one more is possible beyond 53, where 60 follow.
+    width[:n] = _BITS[ids] if ids.dtype == np.uint16 else np.frexp(ids.astype(np.float64))[1]
+    ids = ids.astype(np.uint64)
+    # The selector at each place: the first whose run of ids is all narrow enough and inside the block. Where one
+    # fits all later ones do, so those that fit are counted. The widest of a run is that of a shorter run from its
+    # start and of one to its end.
+    choice = np.full((blocks, block), 15, np.int8)
+    widest, run = width.reshape(blocks, block), 1
+    for s in range(14, -1, -1):
+        more = int(COUNTS[s]) - run
+        if run + more > block:
+            break
+        widest, run = np.maximum(widest[:, :-more], widest[:, more:]), run + more
+        fits = widest <= WIDTHS[s]
+        if not fits.any():
+            break
+        choice[:, : block - run + 1] -= fits.view(np.int8)
+    # Words of all blocks side by side; a block that is through stays at the place after the last.
+    none = blocks * block
+    after = np.arange(none + 1)
+    after[:-1] += COUNTS[choice.reshape(-1)]
+    tight = after[:-1].reshape(blocks, block)
+    tight[tight >= np.minimum((np.arange(blocks) + 1) * block, n)[:, None]] = none
+    at, steps = np.arange(blocks) * block, []
+    while len(steps) % 64 or (at < none).any():
+        steps.append(at)
+        at = after[at]
+    start = np.stack(steps, axis=1).reshape(-1)
+    start = start[start < none]
+    choice, owner = choice.reshape(-1), start // block
     selector = choice[start].astype(np.int64)
     word = selector.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         mine = np.flatnonzero(selector == s)
-        for k in range(COUNTS[s]):
-            value = ids[start[mine] + k]
+        first, packed = start[mine], word[mine]
+        for k in range(COUNTS[s] if len(mine) else 0):
+            value = ids[first + k]
             if s == 15:
                 value = np.minimum(value, ESCAPE)
-            word[mine] |= value << np.uint64(k * WIDTHS[s])
+            packed |= value << np.uint64(k * WIDTHS[s])
+        word[mine] = packed
     escaped = (selector == 15) & (ids[start] >= ESCAPE)
     size = 1 + escaped.astype(np.int64)
     where = np.cumsum(size) - size
@@ -194,9 +202,15 @@ def read_documents(data: bytes, first: int, stop: int) -> list[np.ndarray]:
 # -- jobs --------------------------------------------------------------------
 
 # Texts with these are encoded whole: four control characters and white space beyond ASCII.
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[*b"\t\n\v\f\r "]] = True
+_WHOLE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# The character that a byte-level vocabulary writes for each byte: itself if it is seen, else one from 256 on.
+_SEEN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = np.zeros(256, "<u2")
+_SPELLED[_SEEN_BYTES] = _SEEN_BYTES
+_SPELLED[_SPELLED == 0] = np.arange(256, 512 - len(_SEEN_BYTES))
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Slots that lead to known pieces; a power of two.
 SLOTS = 1 << 21
@@ -218,52 +232,106 @@ def token_bytes(definition: str) -> np.ndarray:
     return np.array([size.get(i, 0) for i in range(max(size) + 1)], np.int64)
 
 
+def _tail(byte: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a byte ends a letter from U+00C0 to U+00FF; all but two of these characters are letters."""
+    return (before == 0xC3) & (byte != 0x97) & (byte != 0xB7)
+
+
+def _opens(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 texts, laid end to end, where the byte-level pattern cannot but begin anew.
+
+    White space before a word is apart from it but for one blank, and its last
+    character from the rest. A single stop or comma between a letter and white
+    space is apart too.
+    """
+    n = len(data)
+    space = (data == _BLANK) | (data - np.uint8(9) < 5)
+    begin = np.zeros(n + 1, bool)
+    begin[begins] = begin[n] = True
+    opens = begin[:n].copy()
+    turn = space[1:] != space[:-1]
+    opens[1:] |= turn & space[1:]
+    leaves = turn & space[:-1] & ~begin[1:n]
+    opens[:-1] |= leaves
+    opens[1:] |= leaves & (data[:-1] != _BLANK)
+    ends = begin[1:]
+    ends[:-1] |= space[1:]
+    dot = np.flatnonzero(((data == 46) | (data == 44)) & ends & ~opens)
+    before = data[dot - 1]
+    opens[dot[_LETTER[before] | _tail(before, data[np.maximum(dot - 2, 0)])]] = True
+    return np.flatnonzero(opens)
+
+
 class PieceEncoder:
     """A library tokenizer asked once per piece of text that it treats on its own.
 
-    The byte-level pattern never joins a word with what follows its white space,
-    so white space plus word is such a piece.
+    A piece of letters alone, after at most one blank, is one match of the
+    byte-level pattern: it is handed to the library's merges as that vocabulary
+    spells it. All other pieces go the library's whole way.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        spec = json.loads(definition)
+        self.apart = [*_WHOLE, *(t["content"] for t in spec["added_tokens"])]
         self.widths = token_bytes(definition)
         self.kind = id_kind(definition)
-        self.words: dict[str, bytes] = {}
+
+    def stays_whole(self, text: str) -> bool:
+        return any(x in text for x in self.apart)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def pieces(self, asked: list[str]) -> list[bytes]:
-        """Packed ids of each of some distinct pieces."""
-        seen = self.words
-        if len(seen) > WORDS:
-            seen.clear()
-        # A full stop or comma after a letter is a piece of its own, so the word is asked for alone.
-        marked = [p for p in asked if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
-        fresh = list({*asked, *(p[:-1] for p in marked), ".", ","}.difference(marked).difference(seen))
+    def _joint(self, tokenizer: Tokenizer, text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that go through one call; the bytes the tokens stand for tell how many are whose."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(size), "right")
+        return ids, np.diff(cut, prepend=0)
+
+    def words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Whether each piece of ``data`` is letters after at most one blank; ids and their numbers for those that are."""
+        ends = np.cumsum(size)
+        taken = data[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]))]
+        letter = _LETTER[taken]
+        tail = np.flatnonzero(_tail(taken[1:], taken[:-1])) + 1
+        letter[tail] = letter[tail - 1] = True
+        blank = taken[ends - size] == _BLANK
+        is_word = (np.add.reduceat(letter, ends - size, dtype=np.int64) + blank == size) & (size > blank)
+        spelled, size = _SPELLED[taken[np.repeat(is_word, size)]], size[is_word]
+        ids, counts = [], []
+        ends = np.concatenate([[0], np.cumsum(size)])
+        for k in range(0, len(size), JOINT):
+            part = size[k : k + JOINT]
+            letters = spelled[ends[k] : ends[k + len(part)]]
+            text = np.insert(letters, np.cumsum(part)[:-1], _BLANK).tobytes().decode("utf-16-le")
+            found, count = self._joint(self.merges, text, part)
+            ids.append(found)
+            counts.append(count)
+        return is_word, ids, counts
+
+    def pieces(self, asked: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and their numbers for distinct pieces, in order of ``asked``."""
         # Pieces that start with white space and end with a word stay apart when they follow each other,
-        # so many go through one call; the bytes the tokens stand for tell whose they are.
-        apart = [p for p in fresh if not (p[0].isspace() and not p[-1].isspace())]
-        for p, e in zip(apart, self.tokenizer.encode_batch(apart, add_special_tokens=False)):
-            seen[p] = np.array(e.ids, self.kind).tobytes()
-        joint = [p for p in fresh if p not in seen]
+        # so many go through one call.
+        follows = [p[0].isspace() and not p[-1].isspace() for p in asked]
+        joint = [p for p, f in zip(asked, follows) if f]
+        found: list[np.ndarray] = []
         for k in range(0, len(joint), JOINT):
             part = joint[k : k + JOINT]
-            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ids, stop = found.tobytes(), np.cumsum(self.widths[found])
-            size = [0, *(len(p) if p.isascii() else len(p.encode()) for p in part)]
-            cut = (found.itemsize * np.searchsorted(stop, np.cumsum(size), "right")).tolist()
-            for p, x, y in zip(part, cut, cut[1:]):
-                seen[p] = ids[x:y]
-        for p in marked:
-            seen[p] = seen[p[:-1]] + seen[p[-1]]
-        return [seen[p] for p in asked]
+            ids, count = self._joint(self.tokenizer, "".join(part), np.array([len(p.encode()) for p in part]))
+            found += np.split(ids, np.cumsum(count)[:-1])
+        alone = self.tokenizer.encode_batch([p for p, f in zip(asked, follows) if not f], add_special_tokens=False)
+        first, second = iter(found), iter(alone)
+        ids = [next(first) if f else np.array(next(second).ids, self.kind) for f in follows]
+        return ids, [np.array([len(x) for x in ids], np.int64)]
 
 
 class FlatEncoder:
@@ -273,8 +341,8 @@ class FlatEncoder:
     compared exactly and no Python object is made for it; a longer one is looked
     up by its bytes. Two slots tell where a piece is in the table; one that was
     pushed out of both is asked for again. Texts with separators that Python
-    and the library class differently, or with white space beyond ASCII, are
-    encoded whole.
+    and the library class differently, with white space beyond ASCII, or with
+    an added token are encoded whole.
     """
 
     #: Encoders by vocabulary, for the next task of the worker process; a new process starts without.
@@ -307,15 +375,14 @@ class FlatEncoder:
             entry[wrong] = -1 if slot is None else self.slots[slot][(mark[wrong] >> np.uint64(32)) & _SLOT]
         return entry.astype(np.int64)
 
-    def _add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray, ids: list[bytes]) -> np.ndarray:
+    def _add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray, ids: list[np.ndarray], count: np.ndarray) -> np.ndarray:
         """New entries; pieces of more than 16 bytes come with no mark in ``mark`` and after the others."""
-        begin, kind = len(self.size), self.pool.itemsize
-        count = np.array([len(x) // kind for x in ids], np.int64)
+        begin = len(self.size)
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(count) - count])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.kind)])
+        self.pool = np.concatenate([self.pool, *ids])
         self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
         self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, count])
-        entry = np.arange(begin, begin + len(ids), dtype=np.int32)
+        entry = np.arange(begin, begin + len(count), dtype=np.int32)
         short = entry[: len(mark)]
         place = (mark & _SLOT).astype(np.int64)
         free = self.slots[0][place] < 0
@@ -326,7 +393,7 @@ class FlatEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        flat = [b"" if _WHOLE.search(t) else t.encode("utf-8") for t in texts]
+        flat = [b"" if self.library.stays_whole(t) else t.encode("utf-8") for t in texts]
         sizes = np.array([len(x) for x in flat], np.int64)
         stops = np.cumsum(sizes)
         joined = b"".join(flat) + bytes(16)
@@ -334,11 +401,7 @@ class FlatEncoder:
         n = len(data) - 16
         if not n:
             return [self.library.whole(t) if t else b"" for t in texts]
-        space = _IS_SPACE[data[:n]]
-        opens = space.copy()
-        opens[1:] &= ~space[:-1]
-        opens[(stops - sizes)[sizes > 0]] = True
-        start = np.flatnonzero(opens)
+        start = _opens(data[:n], (stops - sizes)[sizes > 0])
         size = np.diff(np.append(start, n))
         short = np.flatnonzero(size <= 16)
         window = np.ndarray((n + 9,), "<u8", joined, 0, (1,))  # the eight bytes from every place on
@@ -355,20 +418,30 @@ class FlatEncoder:
         _, one, back = np.unique(mark[where], return_index=True, return_inverse=True)
         if (shape[one][back] != shape).any():
             _, one, back = np.unique(shape, axis=0, return_index=True, return_inverse=True)
-        asked = [joined[x : x + k].decode() for x, k in zip(at[where[one]].tolist(), length[where[one]].tolist())]
+        chosen = where[one]
         long_at = np.flatnonzero(size > 16)
         keys = [joined[x : x + k] for x, k in zip(start[long_at].tolist(), size[long_at].tolist())]
         new_long = list({k for k in keys if k not in self.long})
-        if asked or new_long:
-            ids = self.library.pieces([*asked, *(k.decode() for k in new_long)])
+        ids, counts = [], []
+        if len(chosen):
+            is_word, ids, counts = self.library.words(data, at[chosen], length[chosen])
+            words_first = np.argsort(~is_word, kind="stable")
+            chosen = chosen[words_first]
+            others = chosen[int(is_word.sum()) :]
+        if len(chosen) or new_long:
+            asked = [joined[x : x + k] for x, k in zip(at[others].tolist(), length[others].tolist())] if len(chosen) else []
+            more, number = self.library.pieces([k.decode() for k in [*asked, *new_long]])
             pad = np.zeros(len(new_long), np.uint64)
-            chosen = where[one]
             added = self._add(
                 np.concatenate([first[chosen], pad]), np.concatenate([second[chosen], pad]),
-                np.concatenate([length[chosen], np.array([len(k) for k in new_long], np.int64)]), mark[chosen], ids,
+                np.concatenate([length[chosen], np.array([len(k) for k in new_long], np.int64)]), mark[chosen],
+                [*ids, *more], np.concatenate([*counts, *number]),
             )
-            entry[fresh] = added[: len(asked)][back.reshape(-1)]
-            self.long.update(zip(new_long, added[len(asked) :].tolist()))
+            if len(chosen):
+                place = np.empty(len(chosen), np.int64)
+                place[words_first] = added[: len(chosen)]
+                entry[fresh] = place[back.reshape(-1)]
+            self.long.update(zip(new_long, added[len(chosen) :].tolist()))
         entry[long_at] = [self.long[k] for k in keys]
         count = self.count[entry]
         ends = np.cumsum(count)
@@ -388,8 +461,8 @@ class FlatEncoder:
         used = np.concatenate([used[size[used] <= 16], used[size[used] > 16]])
         short = used[size[used] <= 16]
         mark = flatwords.mix(first[short] ^ flatwords.mix(second[short] + size[short].astype(np.uint64)))
-        ids = [pool[x : x + k].tobytes() for x, k in zip(at[used].tolist(), count[used].tolist())]
-        added = self._add(first[used], second[used], size[used], mark, ids)
+        ids = [pool[x : x + k] for x, k in zip(at[used].tolist(), count[used].tolist())]
+        added = self._add(first[used], second[used], size[used], mark, ids, count[used])
         self.long = {names[e]: k for e, k in zip(used[len(short) :].tolist(), added[len(short) :].tolist())}
 
 

@@ -89,6 +89,41 @@ def test_flat_encoder_equals_the_library(monkeypatch):
             assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == expected
 
 
+def test_a_word_is_asked_once_whatever_stands_beside_it():
+    path = _vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    with open(path, encoding="utf-8") as f:
+        encoder = token_files.FlatEncoder(f.read())
+    words = [f"{x}{y}" for x in map(chr, range(0xC0, 0x100)) for y in "a\u00e9z\u00dfQ" if x not in "\u00d7\u00f7"]
+    beside = [" {}", " {},", " {}.\n", "\n\n {}", "\t {}"], ["{}", "{}\n", "\n{}", "\n \t{}.", "\r\n\n{},"]
+    texts = [form.format(w) for w in words for side in beside for form in side]
+    texts += ["\u00d7. \u00f7, ", "a\u00d7. a\u00f7, x.y, 1. ., .", " <|endoftext|>  <|endoftext|>\n\n<|endoftext|>a. "]
+    for t, x in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(x, encoder.kind).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    # Each word with and without a blank, and a few signs: forms that only differ in what is beside are no new pieces.
+    assert len(encoder.size) < 2 * len(words) + 30
+
+
+def test_ids_are_packed_as_one_after_the_other_would_be():
+    rng = np.random.default_rng(5)
+    for top, block in ((1, 4096), (3, 100), (50_000, 239), (1 << 62, 7), (40, 4096)):
+        ids = rng.integers(0, top, 9000, dtype=np.uint64)
+        ids[rng.random(9000) < 0.7] = 0
+        chosen, at = [], 0
+        while at < len(ids):
+            stop = min(len(ids), at - at % block + block)
+            runs = [(int(n), 1 << int(w)) for n, w in zip(token_files.COUNTS[:15], token_files.WIDTHS)]
+            chosen.append(next((s for s, (n, end) in enumerate(runs) if at + n <= stop and (ids[at : at + n] < end).all()), 15))
+            at += int(token_files.COUNTS[chosen[-1]])
+        for x in [ids, ids.astype(np.uint16)] if top < 1 << 16 else [ids]:
+            words, _ = token_files.encode_blocks(x, block)
+            heads = words >> np.uint64(60)
+            if top < 1 << 60:
+                assert heads.tolist() == chosen
+            assert (token_files.decode_blocks(words) == ids).all()
+
+
 def test_documents_are_read_from_their_blocks():
     rng = np.random.default_rng(3)
     lengths = np.array([1, 5000, 0, 12, 9000, 1, 4096, 300])
