@@ -26,7 +26,6 @@ empty table gives an empty result; only key and text are read.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import struct
@@ -51,7 +50,8 @@ BLOCK = 4096
 FILE_IDS = 500_000
 #: Documents in a key range, about; ranges are at least as many as shuffle partitions.
 RANGE_ROWS = 200_000
-SEEN = 1_000_000
+#: Pieces a worker process knows at most, about; the half used last stays when they are more.
+SEEN = 2_000_000
 CHARACTERS = 2_000_000
 #: Pieces of text that go through one call of the library.
 JOINT = 5_000
@@ -213,7 +213,7 @@ _SPELLED[_SEEN_BYTES] = _SEEN_BYTES
 _SPELLED[_SPELLED == 0] = np.arange(256, 512 - len(_SEEN_BYTES))
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Slots that lead to known pieces; a power of two.
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 _SLOT = np.uint64(SLOTS - 1)
 
 
@@ -334,6 +334,10 @@ class PieceEncoder:
         return ids, [np.array([len(x) for x in ids], np.int64)]
 
 
+def _marks(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return flatwords.mix(first ^ flatwords.mix(second + size.astype(np.uint64)))
+
+
 class FlatEncoder:
     """Encodes many texts at once: pieces are marked in one flat array of bytes and found in a table of known pieces.
 
@@ -345,27 +349,28 @@ class FlatEncoder:
     an added token are encoded whole.
     """
 
-    #: Encoders by vocabulary, for the next task of the worker process; a new process starts without.
-    kept: dict[str, FlatEncoder] = {}
-
-    @classmethod
-    def of(cls, definition: str) -> FlatEncoder:
-        name = hashlib.md5(definition.encode()).hexdigest()
-        if name not in cls.kept:
-            cls.kept[name] = cls(definition)
-        return cls.kept[name]
-
     def __init__(self, definition: str):
         self.library = PieceEncoder(definition)
         self.kind = self.library.kind
+        self.turn = 0
         self._clear()
 
     def _clear(self) -> None:
         self.slots = [np.full(SLOTS, -1, np.int32) for _ in range(2)]
         self.long: dict[bytes, int] = {}
         self.first, self.second = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
-        self.size, self.at, self.count = (np.zeros(1, np.int64) for _ in range(3))
+        self.size, self.at, self.count = np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int32)
+        self.last = np.zeros(1, np.int32)
         self.pool = np.zeros(0, self.kind)
+        self.entries, self.ids = 1, 0
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Writes values into a column from a place on; a column without room is doubled."""
+        column = getattr(self, name)
+        if at + len(values) > len(column):
+            column = np.concatenate([column[:at], np.zeros(at + 2 * len(values), column.dtype)])
+            setattr(self, name, column)
+        column[at : at + len(values)] = values
 
     def _known(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """Place of each piece in the table, -1 if it is in neither slot."""
@@ -377,12 +382,16 @@ class FlatEncoder:
 
     def _add(self, first: np.ndarray, second: np.ndarray, size: np.ndarray, mark: np.ndarray, ids: list[np.ndarray], count: np.ndarray) -> np.ndarray:
         """New entries; pieces of more than 16 bytes come with no mark in ``mark`` and after the others."""
-        begin = len(self.size)
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(count) - count])
-        self.pool = np.concatenate([self.pool, *ids])
-        self.first, self.second = np.concatenate([self.first, first]), np.concatenate([self.second, second])
-        self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, count])
-        entry = np.arange(begin, begin + len(count), dtype=np.int32)
+        begin, found = self.entries, np.concatenate(ids)
+        self._put("at", begin, self.ids + np.cumsum(count) - count)
+        self._put("pool", self.ids, found)
+        self._put("first", begin, first)
+        self._put("second", begin, second)
+        self._put("size", begin, np.minimum(size, 255))  # of a long piece no more is asked than that it is long
+        self._put("count", begin, count)
+        self._put("last", begin, np.full(len(count), self.turn))
+        self.entries, self.ids = begin + len(count), self.ids + len(found)
+        entry = np.arange(begin, self.entries, dtype=np.int32)
         short = entry[: len(mark)]
         place = (mark & _SLOT).astype(np.int64)
         free = self.slots[0][place] < 0
@@ -408,7 +417,7 @@ class FlatEncoder:
         at, length = start[short], size[short]
         first = window[at] & _MASKS[np.minimum(length, 8)]
         second = window[at + 8] & _MASKS[np.maximum(length - 8, 0)]
-        mark = flatwords.mix(first ^ flatwords.mix(second + length.astype(np.uint64)))
+        mark = _marks(first, second, length)
         entry = np.empty(len(start), np.int64)
         entry[short] = self._known(first, second, length, mark)
         fresh = short[entry[short] < 0]
@@ -443,34 +452,44 @@ class FlatEncoder:
                 entry[fresh] = place[back.reshape(-1)]
             self.long.update(zip(new_long, added[len(chosen) :].tolist()))
         entry[long_at] = [self.long[k] for k in keys]
+        self.last[entry] = self.turn = self.turn + 1
         count = self.count[entry]
-        ends = np.cumsum(count)
+        ends = np.cumsum(count, dtype=np.int64)
         place = np.repeat(self.at[entry] - ends + count, count) + np.arange(int(ends[-1]))
         ids = self.pool[place].tobytes()
         cuts = np.concatenate([[0], ends])[np.searchsorted(start, np.concatenate([[0], stops]))] * self.pool.itemsize
         out = [ids[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
-        if len(self.size) > SEEN:
-            self._keep(np.unique(entry))
+        if self.entries > SEEN:
+            self._keep()
         return [self.library.whole(t) if not f and t else o for t, f, o in zip(texts, flat, out)]
 
-    def _keep(self, used: np.ndarray) -> None:
-        """Only the entries of the last texts stay, so that common pieces outlive the rest."""
-        first, second, size, at, count, pool = self.first, self.second, self.size, self.at, self.count, self.pool
+    def _keep(self) -> None:
+        """Only the entries used last stay, so that common pieces outlive the rest."""
+        used = np.argsort(self.last[1 : self.entries], kind="stable")[-(SEEN // 2) :] + 1
+        long = self.size[used] > 16
+        used = np.concatenate([used[~long], used[long]])
+        short = used[: len(used) - int(long.sum())]
+        first, second, size, count, last = (x[used] for x in (self.first, self.second, self.size, self.count, self.last))
+        ends = np.cumsum(count, dtype=np.int64)
+        ids = self.pool[np.repeat(self.at[used] - ends + count, count) + np.arange(int(ends[-1]))]
         names = {e: k for k, e in self.long.items()}
         self._clear()
-        used = np.concatenate([used[size[used] <= 16], used[size[used] > 16]])
-        short = used[size[used] <= 16]
-        mark = flatwords.mix(first[short] ^ flatwords.mix(second[short] + size[short].astype(np.uint64)))
-        ids = [pool[x : x + k] for x, k in zip(at[used].tolist(), count[used].tolist())]
-        added = self._add(first[used], second[used], size[used], mark, ids, count[used])
+        mark = _marks(first[: len(short)], second[: len(short)], size[: len(short)])
+        added = self._add(first, second, size, mark, [ids], count)
+        self._put("last", 1, last)
         self.long = {names[e]: k for e, k in zip(used[len(short) :].tolist(), added[len(short) :].tolist())}
 
 
 def _encoded(docs: DataFrame, definition: str, key: str, text: str) -> DataFrame:
     """(key, ids): ids of each text with the end id, packed as ``id_kind`` says."""
 
+    # A worker process holds the value of a broadcast for its next tasks, and with it the encoder that a task puts
+    # there. What the package itself holds starts anew with each task, since its code travels with the task.
+    shared = docs.sparkSession.sparkContext.broadcast({"definition": definition})
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = FlatEncoder.of(definition)
+        held = shared.value
+        encoder = held.get("encoder") or held.setdefault("encoder", FlatEncoder(held["definition"]))
         end = np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
             keys, texts = batch["key"].astype("Int64"), batch["text"].fillna("").tolist()

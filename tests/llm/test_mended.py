@@ -1,6 +1,7 @@
 """Repeated and missing keys in near-duplicate classes, and special tokens in other cases of letters."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -102,7 +103,23 @@ def test_a_word_is_asked_once_whatever_stands_beside_it():
     for t, x in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(x, encoder.kind).tolist() == library.encode(t, add_special_tokens=False).ids, t
     # Each word with and without a blank, and a few signs: forms that only differ in what is beside are no new pieces.
-    assert len(encoder.size) < 2 * len(words) + 30
+    assert encoder.entries < 2 * len(words) + 30
+
+
+def test_the_next_task_of_a_worker_goes_on_with_its_encoder(spark, monkeypatch, tmp_path):
+    log, made = str(tmp_path / "made"), token_files.FlatEncoder.__init__
+
+    def noted(self, definition):
+        made(self, definition)
+        with open(log, "a") as f:
+            print(os.getpid(), file=f)
+
+    monkeypatch.setattr(token_files.FlatEncoder, "__init__", noted)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('word', id, ' and another.') as text").repartition(40)
+    assert token_files.round_trip(docs, _vocabulary("byte_bpe_50k.json")).count() == 400
+    with open(log) as f:
+        processes = f.read().split()
+    assert len(processes) == len(set(processes)) < 40
 
 
 def test_ids_are_packed_as_one_after_the_other_would_be():
